@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, packing
+from . import mixing, packing, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1,
+    "op2_toxicity": toxicity.op2,
     "op6_mixing": mixing.op6,
 }
 
