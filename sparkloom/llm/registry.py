@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, toxicity
+from . import lines, mixing, packing, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1,
     "op2_toxicity": toxicity.op2,
     "op6_mixing": mixing.op6,
+    "op8_lines": lines.op8,
 }
 
 ORACLE_SQL = {
