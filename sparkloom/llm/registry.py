@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, packing, toxicity
+from . import lines, mixing, packing, simhash, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1,
     "op2_toxicity": toxicity.op2,
+    "op5_simhash": simhash.op5,
     "op6_mixing": mixing.op6,
     "op8_lines": lines.op8,
 }
