@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,8 +69,6 @@ def bpe_count(ranks_path: str, pattern: str) -> Callable[[Column], Column]:
 
     The file must be readable at that path on every executor. Null counts 0.
     """
-    import pandas as pd
-
     held: dict[str, object] = {}
 
     def encoder():
