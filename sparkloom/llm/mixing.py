@@ -97,17 +97,17 @@ def mix(
     such documents has no budget and is dropped, as is one without a weight. An empty table gives an empty one. Columns
     of other names pass through; should the table have ``level_col`` or ``tokens_col`` already, underscores go before ours.
     """
-    level, count, h, cuts = (fresh(docs.columns, x) for x in (level_col, tokens_col, "_mix_h", "_mix_cuts"))
+    level, count, h, cuts, of = (fresh(docs.columns, x) for x in (level_col, tokens_col, "_mix_h", "_mix_cuts", "_mix_source"))
     narrow = written(docs.select(F.col(source_col).cast("string").alias("source"), doc_hash(F.col(id_col)).alias("h"), tokens(F.col(text_col)).alias("tokens")))
     cut = thresholds(narrow, weights, sorted(fractions))
-    per = cut.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("level", "cut"))).alias(cuts)).withColumnRenamed("source", "_mix_source")
-    kept = docs.withColumn(h, doc_hash(F.col(id_col))).join(per, F.col(source_col).cast("string").eqNullSafe(F.col("_mix_source")))
+    per = cut.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("level", "cut"))).alias(cuts)).withColumnRenamed("source", of)
+    kept = docs.withColumn(h, doc_hash(F.col(id_col))).join(per, F.col(source_col).cast("string").eqNullSafe(F.col(of)))
     first = F.filter(F.col(cuts), lambda x: F.col(h) <= x["cut"])
     return (
         kept.filter(F.col(h) <= F.element_at(F.col(cuts), -1)["cut"])
         .withColumn(level, F.element_at(first, 1)["level"])
         .withColumn(count, tokens(F.col(text_col)))
-        .drop(h, cuts, "_mix_source")
+        .drop(h, cuts, of)
     )
 
 
