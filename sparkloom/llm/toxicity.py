@@ -169,7 +169,7 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model | None:
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = TRAIN_TOXIC, max_ordinary: int = TRAIN_ORDINARY) -> Model | None:
     """A model from labelled documents: of each class at most ``max_toxic`` or ``max_ordinary``, by the hash of the id.
 
-    Null ids, texts and labels are passed over. Rows of one id are texts each; an id of two labels counts as one of them.
+    Null ids, texts and labels are passed over. Rows of one id are texts each; an id of two labels is toxic.
     None if a class has too few texts, as in empty tables. Other columns, whatever their names, are ignored.
     """
     sample = None
@@ -178,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         sample = part if sample is None else sample.unionByName(part)
     # The sample is bounded, so it may always be broadcast.
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
-    rows = texts.join(F.broadcast(sample.dropDuplicates(["_id"])), F.col("_doc") == F.col("_id")).select("_id", "_label", "_text").toLocalIterator()
+    rows = texts.join(F.broadcast(sample.groupBy("_id").agg(F.max("_label").alias("_label"))), F.col("_doc") == F.col("_id")).select("_id", "_label", "_text").toLocalIterator()
     held = sorted((r["_id"], r["_label"], r["_text"]) for r in rows)
     return fit([t for _, y, t in held if y == 1], [t for _, y, t in held if y == 0])
 
