@@ -2,7 +2,7 @@
 
 In a round every source gets a quantum of tokens, its share of one window, and sends the documents that its quantum and
 its carried deficit pay for. As a queue never idles before its end, a document leaves in the first round whose summed
-quanta reach the queue's tokens up to and including it: ``round = (tokens up to it - 1) div quantum``. So a deficit is
+quanta reach the queue's tokens up to and including it: ``round = (tokens up to it - 1) div quantum``, in the quantum's unit. So a deficit is
 never kept anywhere; it is what a prefix sum says, and it carries over windows and partitions exactly. Laid out by round,
 then source, the documents form one stream, cut into full windows; a window's mixture differs from the target by less
 than one document of each source. When a source is empty the others go on in their proportions.
@@ -69,7 +69,7 @@ def pack(
         .join(base, F.col("source").eqNullSafe(F.col("s2")) & (F.col("bucket") == F.col("b2")))
         .join(quanta, F.col("source").eqNullSafe(F.col("s3")))
         .select("doc_id", "source", "tokens", (F.col("base") + F.col("within")).alias("upto"), "q")
-        .select("doc_id", "source", "tokens", "upto", F.expr(f"((upto - 1) * {UNIT}L) div q").alias("round"))
+        .select("doc_id", "source", "tokens", "upto", F.expr(f"(upto * {UNIT}L - 1) div q").alias("round"))
     )
     ranked = written(ranked)
     last = ranked.agg(F.max("round").alias("last"))
@@ -98,7 +98,7 @@ WITH d AS (SELECT doc_id, source, {common.DOC_HASH_SQL} AS h, CAST({common.WORDS
 q AS (SELECT *, sum(tokens) OVER (PARTITION BY source)::BIGINT AS n, sum(tokens) OVER ()::BIGINT AS total,
              sum(tokens) OVER (PARTITION BY source ORDER BY h, doc_id, tokens ROWS UNBOUNDED PRECEDING)::BIGINT AS upto
       FROM d WHERE tokens > 0),
-r AS (SELECT *, ((upto - 1) * {UNIT}) // greatest(1, ({UNIT * WINDOW_TOKENS} * n) // total) AS round FROM q),
+r AS (SELECT *, (upto * {UNIT} - 1) // greatest(1, ({UNIT * WINDOW_TOKENS} * n) // total) AS round FROM q),
 g AS (SELECT *, (sum(tokens) OVER (ORDER BY round, source NULLS FIRST, upto, doc_id ROWS UNBOUNDED PRECEDING))::BIGINT - tokens AS g FROM r),
 p AS (SELECT doc_id, source, tokens, g, unnest(generate_series(g // {WINDOW_TOKENS}, (g + tokens - 1) // {WINDOW_TOKENS})) AS window_id FROM g)
 SELECT window_id, greatest(g, window_id * {WINDOW_TOKENS}) - window_id * {WINDOW_TOKENS} AS window_pos, doc_id, source,
