@@ -9,7 +9,7 @@ occurrence (lowest id, then lowest place) stays and the others are taken out.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -23,6 +23,13 @@ PRIME = 0x9E3779B97F4A7C15
 FULL = (1 << 64) - 1
 
 
+def xxh(text: str) -> int:
+    """A signed hash of 64 bits."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def chunks(text: str) -> list[tuple[int, int, bool]]:
     """(first line, line after the last, whether it may be removed) of every chunk of ``text.split('\\n')``."""
     import xxhash
@@ -72,7 +79,7 @@ def occurrences(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
                 k = None
                 for i, ((_, _, may), c) in enumerate(zip(spans, _chunk_bytes(t, spans))):
                     if may and c.strip():
-                        k = xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) if k is None else k
+                        k = xxh(t) if k is None else k
                         row.append(r)
                         key.append(k)
                         no.append(i)
@@ -95,13 +102,11 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     texts = hashed.join(wanted, F.col("id").eqNullSafe(F.col("_id"))).select("id", "text", "_key", "_nos")
 
     def make():
-        import xxhash
-
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
             row, no, body = [], [], []
             keys, nos = b.column(2).to_pylist(), b.column(3).to_pylist()
             for r, t in enumerate(b.column(1).to_pylist()):
-                if t and xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) == keys[r]:
+                if t and xxh(t) == keys[r]:
                     each = _chunk_bytes(t, chunks(t))
                     for i in nos[r]:
                         row.append(r)
@@ -135,8 +140,6 @@ def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     n_at = docs.columns.index(count_col) if count_col in docs.columns else None
 
     def run(batches):
-        import xxhash
-
         for b in batches:
             texts, drops = b.column(at).to_pylist(), b.column(last).to_pylist()
             keep, changed = [True] * b.num_rows, {}
@@ -144,7 +147,7 @@ def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 t = texts[r]
                 if not by_key or not t:
                     continue
-                k = xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63)
+                k = xxh(t)
                 nos = next((x["nos"] for x in by_key if x["key"] == k), None)
                 if not nos:
                     continue
