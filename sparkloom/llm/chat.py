@@ -63,36 +63,32 @@ def turns(messages: Sequence[Message], template: Template) -> tuple[list[Turn],
     """Every turn's span, and the output of all of them. No messages give no turns and an empty output."""
     if not messages:
         return [], ""
+    outputs = [template(messages[: k + 1]) for k in range(len(messages))]
     try:
         old = template([])
     except Exception:  # a template may refuse to render nothing; then the head counts to the first turn
-        old = ""
-    # The first pass finds the tail: the longest rest of an old output that stands at the new one's end.
-    tail, before, steps = "", old, []
-    for k in range(len(messages)):
-        new = template(messages[: k + 1])
-        p = common_prefix(before, new)
-        rest = before[p:]
-        fits = len(rest) <= len(new) - p and new.endswith(rest)
-        if fits and len(rest) > len(tail):
+        old, checked = "", outputs
+    else:
+        checked = [old, *outputs]
+    # A tail is what every output ends with and every new turn stands before: the longest rest of an old output.
+    tail = ""
+    for before, new in zip(checked, checked[1:]):
+        rest = before[common_prefix(before, new) :]
+        if len(rest) > len(tail) and all(x.endswith(rest) for x in checked):
             tail = rest
-        steps.append((new, p, fits))
-        before = new
+    steps = []
+    for before, new in zip([old, *outputs], outputs):
+        kept = len(before) - (len(tail) if before.endswith(tail) else 0)
+        p = common_prefix(before, new)
+        steps.append((kept, len(new) - len(tail), p, p >= kept and len(new) - len(tail) >= kept))
+    whole = outputs[-1]
     out: list[Turn] = []
-    lowest = [len(steps[-1][0])] * (len(steps) + 1)  # the least place that a later turn rewrote
-    for k in range(len(steps) - 1, -1, -1):
-        lowest[k] = lowest[k + 1] if steps[k][2] else min(lowest[k + 1], steps[k][1])
-    previous = old
-    for k, (new, p, fits) in enumerate(steps):
+    lowest = len(whole)  # the least place that a later turn rewrote
+    for (begin, end, p, fits), new in zip(reversed(steps), reversed(outputs)):
+        out.append(Turn(begin, end, None, end <= lowest, new[begin:end]) if fits else Turn(None, None, p, False, None))
         if not fits:
-            out.append(Turn(None, None, p, False, None))
-        else:
-            # The tail's own characters may stand at the insertion's start too, so both ends are counted from the tail.
-            cut = len(tail) if previous.endswith(tail) and new.endswith(tail) else len(previous) - p
-            begin, end = len(previous) - cut, len(new) - cut
-            out.append(Turn(begin, end, None, end <= lowest[k + 1], new[begin:end]))
-        previous = new
-    return out, steps[-1][0]
+            lowest = min(lowest, p)
+    return out[::-1], whole
 
 
 def format_chats(
