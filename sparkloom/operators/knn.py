@@ -2,8 +2,8 @@
 
 The DataFrame form packs both sides into blocks of vectors, pairs every block of queries with every block of the corpus,
 and takes each pair's k best by one matrix product; only k rows a query and block of the corpus are shuffled to find the
-best of all. Nothing is gathered on the driver, and a block's size doesn't depend on the tables'. The corpus's blocks are
-broadcast or shuffled as Spark finds from their size.
+best of all. Nothing is gathered on the driver, and a block's size doesn't depend on the tables'. The corpus's blocks
+are broadcast if Spark finds them small, else every part of one side meets every part of the other.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import to_col
 
-#: Vectors of a block.
-BLOCK = 2048
+#: Vectors of a block of queries and of the corpus.
+QUERY_BLOCK, BLOCK = 256, 2048
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -33,7 +33,7 @@ def _matrix(v: pa.Array) -> np.ndarray:
     return flat.reshape(len(v), -1)
 
 
-def _blocks(df: DataFrame, id_col: str, vector_col: str, prefix: str) -> DataFrame:
+def _blocks(df: DataFrame, id_col: str, vector_col: str, prefix: str, block: int) -> DataFrame:
     """A row for each block: ids, and unit vectors as bytes, by length. Rows of a null id or vector are left out."""
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -42,8 +42,8 @@ def _blocks(df: DataFrame, id_col: str, vector_col: str, prefix: str) -> DataFra
             sizes = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
-                for lo in range(0, len(at), BLOCK):
-                    part = b.take(pa.array(at[lo : lo + BLOCK]))
+                for lo in range(0, len(at), block):
+                    part = b.take(pa.array(at[lo : lo + block]))
                     data = _unit(_matrix(part.column(1))).tobytes() if size else b""
                     ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
                     yield pa.RecordBatch.from_arrays([ids, pa.array([int(size)], pa.int32()), pa.array([data], pa.binary())], names=["ids", "size", "data"])
@@ -67,6 +67,8 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 5, *, query_id: str
         for b in batches:
             for r in range(b.num_rows):
                 size = b.column(1)[r].as_py()
+                if size != b.column(4)[r].as_py():
+                    continue
                 q_ids, c_ids = b.column(0)[r].values, b.column(3)[r].values
                 x, y = (np.frombuffer(b.column(c)[r].as_py()).reshape(len(i), size) for c, i in ((2, q_ids), (5, c_ids)))
                 near = np.round(x @ y.T, 9)
@@ -81,8 +83,10 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 5, *, query_id: str
                 i, j = np.nonzero((near >= bar[:, None]) & np.isfinite(near))
                 yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(i)), c_ids.take(pa.array(j)), pa.array(near[i, j])], names=["query_id", "neighbor_id", "similarity"])
 
-    left, right = _blocks(queries, query_id, query_vector, "q_"), _blocks(corpus, corpus_id, corpus_vector, "c_")
-    pairs = left.join(right, F.col("q_size") == F.col("c_size"))
+    left, right = _blocks(queries, query_id, query_vector, "q_", QUERY_BLOCK), _blocks(corpus, corpus_id, corpus_vector, "c_", BLOCK)
+    # Blocks are few rows, of which a file may hold all. Their sizes are compared in the worker: as the key of a join, the
+    # one size that all vectors have would put all pairs into one task.
+    pairs = left.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))).crossJoin(right)
     found = pairs.select("q_ids", "q_size", "q_data", "c_ids", "c_size", "c_data").mapInArrow(run, f"query_id {q_kind}, neighbor_id {c_kind}, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "neighbor_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "neighbor_id", "rank", (1 - F.col("similarity")).alias("distance"))
