@@ -1,8 +1,9 @@
 """Similarity of two columns of vectors.
 
 Each runs as one Arrow function over whole batches: where all vectors of a batch are as long and have no null within, as
-embeddings are, a batch is two matrices and one pass of numpy. Rows with a null vector are null; vectors of different
-lengths are an error; pairs of elements of which one is null are left out of every sum.
+embeddings are, a batch is two matrices and one pass of numpy. Numbers of any type are made doubles there. Rows with a
+null vector are null; vectors of different lengths are an error; pairs of elements of which one is null are left out of
+every sum.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ def _pairs(a: pa.Array, b: pa.Array):
 def _by_row(f: Callable[[np.ndarray, np.ndarray], np.ndarray]):
     @F.arrow_udf(T.DoubleType())
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        if pa.types.is_null(a.type) or pa.types.is_null(b.type):
+            return pa.nulls(len(a), pa.float64())
         out, known = np.zeros(len(a)), np.zeros(len(a), bool)
         for rows, x, y in _pairs(a, b):
             out[rows], known[rows] = f(x, y), True
@@ -65,18 +68,14 @@ def _distance(x, y):
 _FORMS = {"cosine": _by_row(_cosine), "dot": _by_row(_dot), "distance": _by_row(_distance)}
 
 
-def _vector(x) -> Column:
-    return to_col(x).cast("array<double>")
-
-
 def cosine_similarity(a, b) -> Column:
     """The cosine of two vectors, 0 if one has no length."""
-    return _FORMS["cosine"](_vector(a), _vector(b))
+    return _FORMS["cosine"](to_col(a), to_col(b))
 
 
 def dot_product(a, b) -> Column:
-    return _FORMS["dot"](_vector(a), _vector(b))
+    return _FORMS["dot"](to_col(a), to_col(b))
 
 
 def euclidean_distance(a, b) -> Column:
-    return _FORMS["distance"](_vector(a), _vector(b))
+    return _FORMS["distance"](to_col(a), to_col(b))
