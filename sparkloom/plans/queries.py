@@ -213,7 +213,7 @@ QUERIES = {
     )
 }
 
-_USER = "'{\"role\": \"user\", \"content\": ' || to_json(text) || '}'"
+_USER = "'" + json.dumps({"role": "user"})[:-1] + ", " + json.dumps("content") + ": ' || to_json(text) || '}'"
 _TURN = "'{\"role\": ' || to_json(role) || ', \"content\": ' || to_json(text) || '}'"
 ORACLE_SQL = {
     "cosine_pairs": f"SELECT a.vec_id, round(list_cosine_similarity({_A}, {_B}), 6) AS cosine {_NEXT}",

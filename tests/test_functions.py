@@ -14,6 +14,15 @@ from sparkloom.functions.accessor import ai
 from sparkloom.operators.knn import gather, knn_join, knn_positions
 
 
+def msg(role, content):
+    return dict(role=role, content=content)
+
+
+def axis(k, n=3):
+    """A unit vector."""
+    return [float(i == k) for i in range(n)]
+
+
 def one(df):
     return [r[0] for r in df.collect()]
 
@@ -21,8 +30,8 @@ def one(df):
 def test_to_message(spark):
     df = spark.createDataFrame([("Hello, world!",), ('quo"te \\ back\nline é \x1b',), (None,), ("",)], "t string")
     out = one(df.select(messages.string_to_message("t")))
-    assert json.loads(out[0]) == {"role": "user", "content": "Hello, world!"}
-    assert out[0] == '{"role": "user", "content": "Hello, world!"}'
+    assert json.loads(out[0]) == msg("user", "Hello, world!")
+    assert out[0] == json.dumps(msg("user", "Hello, world!"))
     assert json.loads(out[1])["content"] == 'quo"te \\ back\nline é \x1b'
     assert out[2] is None and json.loads(out[3])["content"] == ""
 
@@ -30,13 +39,13 @@ def test_to_message(spark):
 @pytest.mark.parametrize(
     "cells,expected",
     [
-        (['{"role": "user", "content": "a"}', '{"role": "assistant", "content": "b"}'], [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]),
+        ([json.dumps(msg("user", "a")), json.dumps(msg("assistant", "b"))], [msg("user", "a"), msg("assistant", "b")]),
         (['[{"a": 1}, {"a": 2}]', '{"a": 3}'], [{"a": 1}, {"a": 2}, {"a": 3}]),
         ([None, ""], []),
         (['{"a": 1}', "[]"], [{"a": 1}]),
         (["[]", '{"a": 1}'], [{"a": 1}]),
         (["42", '"hi"'], [42, "hi"]),
-        (['say "x" \\ and\nline'], [{"role": "user", "content": 'say "x" \\ and\nline'}]),
+        (['say "x" \\ and\nline'], [msg("user", 'say "x" \\ and\nline')]),
     ],
 )
 def test_combine_messages(spark, cells, expected):
@@ -52,7 +61,7 @@ def test_combine_needs_columns():
 
 def test_conversation_and_template(spark):
     df = spark.createDataFrame([(2, "assistant", "b"), (1, "user", "a"), (3, "user", None)], "n int, role string, text string")
-    assert json.loads(one(df.agg(messages.conversation("n", "role", "text")))[0]) == [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]
+    assert json.loads(one(df.agg(messages.conversation("n", "role", "text")))[0]) == [msg("user", "a"), msg("assistant", "b")]
     assert one(df.filter("n < 3").orderBy("n").select(messages.template("{{{}}} {role} {0}", "text", role="role"))) == ["{a} user a", "{b} assistant b"]
     assert one(df.filter("n = 3").select(messages.template("x {}", "text"))) == [None]
 
@@ -61,7 +70,7 @@ VECTORS = "a array<double>, b array<double>"
 
 
 def test_similarity(spark):
-    df = spark.createDataFrame([([1.0, 0.0, 0.0], [1.0, 0.0, 0.0]), ([1.0, 0.0, 0.0], [0.0, 1.0, 0.0]), ([1.0, 2.0, 3.0], [2.0, 4.0, 6.0]), ([3.0, 4.0, 0.0], [0.0, 0.0, 0.0]), ([], []), (None, [0.0]), ([1.0, None, 2.0], [2.0, 5.0, 1.0])], VECTORS)
+    df = spark.createDataFrame([(axis(0), axis(0)), (axis(0), axis(1)), ([1.0, 2.0, 3.0], [2.0, 4.0, 6.0]), ([3.0, 4.0, 0.0], [0.0, 0.0, 0.0]), ([], []), (None, [0.0]), ([1.0, None, 2.0], [2.0, 5.0, 1.0])], VECTORS)
     got = df.select(vectors.cosine_similarity("a", "b"), vectors.dot_product("a", "b"), ai("a").euclidean_distance("b")).collect()
     want = [(1, 1, 0), (0, 0, math.sqrt(2)), (1, 28, math.sqrt(14)), (0, 0, 5), (0, 0, 0), (None, None, None), (4 / 5, 4, math.sqrt(2))]
     for g, w in zip(got, want):
@@ -69,7 +78,7 @@ def test_similarity(spark):
 
 
 def test_unequal_lengths_fail(spark):
-    df = spark.createDataFrame([([1.0, 0.0, 0.0], [1.0, 0.0])], VECTORS)
+    df = spark.createDataFrame([(axis(0), [1.0, 0.0])], VECTORS)
     with pytest.raises(Exception, match="same length"):
         df.select(vectors.cosine_similarity("a", "b")).collect()
 
@@ -80,8 +89,8 @@ def test_literal_query_and_floats(spark):
 
 
 def test_knn_positions(spark):
-    corpus = [[1.0, 0.0, 0.0], [0.9, 0.1, 0.0], None, [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
-    df = spark.createDataFrame([([1.0, 0.0, 0.0], corpus), ([0.0, 1.0, 0.0], corpus), (None, corpus), ([1.0, 0.0, 0.0], [])], "q array<double>, c array<array<double>>")
+    corpus = [axis(0), [0.9, 0.1, 0.0], None, axis(1), axis(2)]
+    df = spark.createDataFrame([(axis(0), corpus), (axis(1), corpus), (None, corpus), (axis(0), [])], "q array<double>, c array<array<double>>")
     assert one(df.select(knn_positions("q", "c", k=2))) == [[0, 1], [3, 1], None, []]
     assert one(df.limit(1).select(ai("q").knn("c", k=9))) == [[0, 1, 3, 4]]
     assert one(df.limit(1).select(knn_positions("q", "c", k=0))) == [[]]

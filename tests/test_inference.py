@@ -11,6 +11,10 @@ from sparkloom.functions.accessor import ai
 from sparkloom.sources import providers as P
 
 
+def msg(role, content):
+    return dict(role=role, content=content)
+
+
 def one(df):
     return [r[0] for r in df.collect()]
 
@@ -47,7 +51,7 @@ def test_structured(questions):
 
 
 def test_messages(spark):
-    df = spark.createDataFrame([('[{"role":"system","content":"s"},{"role":"user","content":"u"}]',), ('{"role":"user","content":"v"}',), ("no JSON",), (None,)], "m string")
+    df = spark.createDataFrame([(json.dumps([msg('system', 's'), msg('user', 'u')]),), (json.dumps(msg('user', 'v')),), ("no JSON",), (None,)], "m string")
     heard = P.Mock(answer=lambda sent, schema: json.dumps([m["role"] for m in sent]))
     assert one(df.select(I.inference_messages("m", client=heard))) == ['["system", "user"]', '["user"]', "[]", None]
 
@@ -88,7 +92,7 @@ def test_providers():
     assert P.client().model == "gpt-4-turbo" and P.client(embeddings=True).model == "text-embedding-3-small"
 
 
-SENT = [{"role": "system", "content": "s"}, {"role": "user", "content": "u"}, {"role": "assistant", "content": "a"}, {"role": "tool", "content": "t"}, {"role": "system", "content": "s2"}]
+SENT = [msg("system", "s"), msg("user", "u"), msg("assistant", "a"), msg("tool", "t"), msg("system", "s2")]
 
 
 def test_bodies():
