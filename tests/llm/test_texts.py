@@ -14,6 +14,10 @@ from hypothesis import strategies as st
 import brute
 from sparkloom.llm import audio, chat, pii, search, secrets, toxicity
 
+def msg(role, content):
+    return dict(role=role, content=content)
+
+
 # --- toxicity
 
 
@@ -391,7 +395,7 @@ def test_templates_that_refuse_nothing():
     def strict(messages):
         return messages[0]["content"] + "|" + chat.chatml(messages)
 
-    assert [t.rewrite_from for t in chat.turns([{"role": "user", "content": "a"}, {"role": "user", "content": "b"}], strict)[0]] == [None, None]
+    assert [t.rewrite_from for t in chat.turns([msg("user", "a"), msg("user", "b")], strict)[0]] == [None, None]
     assert chat.turns([], strict) == ([], "")
 
 
@@ -402,7 +406,7 @@ def test_chats_of_a_table(spark):
     got = chat.format_chats(df, ("chatml",)).collect()
     assert len(got) == len(data) and all(r["stable"] for r in got)
     one = "".join(r["piece"] for r in sorted((r for r in got if r["conv_id"] == 1), key=lambda r: r["span_begin"]))
-    assert one == chat.chatml([{"role": "user", "content": "a"}, {"role": "", "content": ""}, {"role": "assistant", "content": "t\nu"}, {"role": "assistant", "content": "t\nu"}])
+    assert one == chat.chatml([msg("user", "a"), msg("", ""), msg("assistant", "t\nu"), msg("assistant", "t\nu")])
     assert chat.format_chats(df.limit(0)).count() == 0
     assert chat.format_chats(df, {"mine": tailed}).filter("template = 'mine'").count() == len(data)
 
