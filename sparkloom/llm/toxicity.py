@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -86,15 +87,21 @@ class Gains:
                 sizes.append([len(out[k]) for k in range(len(out))])
             self.known.update((w, o - t if o - t >= self.least else 0) for w, t, o in zip(part, *sizes))
 
-    def scores(self, texts: list[str | None]) -> list[float]:
-        """A null text, like one without words, scores 0."""
-        out: list[float] = []
+    def _each(self, texts: list[str | None]) -> Iterator[tuple[Iterator[int], int]]:
+        """The gains of every text's windows, and how many windows it has."""
         for i in range(0, len(texts), 500):
             each = [windows(t) if t else [] for t in texts[i : i + 500]]
             self.learn({w for ws in each for w in ws})
             get = self.known.__getitem__
-            out += [sum(map(get, ws)) / len(ws) ** 0.5 if ws else 0.0 for ws in each]
-        return out
+            yield from ((map(get, ws), len(ws)) for ws in each)
+
+    def found(self, texts: list[str | None]) -> list[tuple[list[int], int]]:
+        """The gains above 0 of every text, and how many windows it has."""
+        return [(list(filter(None, gains)), n) for gains, n in self._each(texts)]
+
+    def scores(self, texts: list[str | None]) -> list[float]:
+        """A null text, like one without words, scores 0."""
+        return [sum(gains) / n**0.5 if n else 0.0 for gains, n in self._each(texts)]
 
 
 def _grams(word: str) -> set[str]:
@@ -104,36 +111,49 @@ def _grams(word: str) -> set[str]:
 
 def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     """The two dictionaries' contents, from texts of the two classes."""
+    least, size = max(3, len(toxic) // 100), [sum(len(t) for t in x) for x in (toxic, ordinary)]
+    counts: list[Counter] = [Counter(), Counter()]
+    for texts, words in zip((toxic, ordinary), counts):
+        for t in texts:
+            words.update(t.lower().split())
+    grams: Counter = Counter()
+    for word, n in counts[0].items():
+        for g in _grams(word):
+            grams[g] += n
+    grams = Counter({g: n for g, n in grams.items() if n >= least})
+    in_ordinary: Counter = Counter()
+    for word, n in counts[1].items():
+        for g in _grams(word):
+            if g in grams:
+                in_ordinary[g] += n
+
+    def tells(g: str, n: int) -> bool:
+        return n >= least and n / size[0] > 20 * (in_ordinary[g] + 1) / size[1]
+
     # Copies of one document must not make its rare words look telling, so a segment counts once for each word before it.
+    # Only segments that would tell if every occurrence counted are looked at again.
+    maybe = {word: held for word in counts[0] if (held := [g for g in _grams(word) if g in grams and tells(g, grams[g])])}
     seen: dict[str, set[str]] = {}
     for t in toxic:
         before = ""
         for word in t.lower().split():
-            for g in _grams(word):
+            for g in maybe.get(word, ()):
                 seen.setdefault(g, set()).add(before)
             before = word
-    least = max(3, len(toxic) // 100)
-    in_toxic = {g: len(x) for g, x in seen.items() if len(x) >= least}
-    del seen
-    in_ordinary: Counter = Counter()
-    for t in ordinary:
-        for word, n in Counter(t.lower().split()).items():
-            for g in _grams(word):
-                if g in in_toxic:
-                    in_ordinary[g] += n
-    size = [sum(len(t) for t in x) for x in (toxic, ordinary)]
-    telling = {g for g, c in in_toxic.items() if c / size[0] > 20 * (in_ordinary[g] + 1) / size[1]}
+    telling = {g for g, x in seen.items() if tells(g, len(x))}
+    marked: dict[str, str] = {}
+    for word, held in maybe.items():
+        w = " " + word
+        marks = bytearray(len(w))
+        for g in telling.intersection(held):
+            k = w.find(g)
+            marks[k : k + len(g)] = b"\1" * len(g)
+        if any(marks):
+            marked[word] = w[marks.index(1) : marks.rindex(1) + 1]
     segments: Counter = Counter()
     for t in toxic:
-        for word in set(t.lower().split()):
-            w = " " + word
-            marks = bytearray(len(w))
-            for g in _grams(word) & telling:
-                k = w.find(g)
-                marks[k : k + len(g)] = b"\1" * len(g)
-            if any(marks):
-                segments[w[marks.index(1) : marks.rindex(1) + 1]] += 1
-    chosen = [s for s, c in segments.most_common() if c >= 3]
+        segments.update(marked[word] for word in set(t.lower().split()) if word in marked)
+    chosen = [s for s, c in sorted(segments.items(), key=lambda x: (-x[1], x[0])) if c >= 3]
     part = "".join(reversed(chosen)).encode("utf-8", "replace") + b" "
     rng = random.Random(0)
     neutral = bytes(rng.randrange(128, 255) for _ in part)
@@ -153,9 +173,11 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model | None:
     held = [[t for i, t in enumerate(x) if i % 3 == 0] for x in (toxic, ordinary)]
     d = dictionaries(*learn)
     best: tuple[float, int, float] | None = None
+    # Compressed once; each threshold only leaves out the lesser gains.
+    g = Gains(*d, 1)
+    found = [g.found(x) for x in held]
     for gain in (1, 2, 3, 4):
-        g = Gains(*d, gain)
-        yes, no = sorted(g.scores(held[0])), sorted(g.scores(held[1]))
+        yes, no = (sorted(sum(x for x in gains if x >= gain) / n**0.5 if n else 0.0 for gains, n in part) for part in found)
         for cut in {x for x in yes if x > 0}:
             caught, wrong = sum(x >= cut for x in yes) / len(yes), sum(x >= cut for x in no) / len(no)
             value = caught - 20 * wrong
