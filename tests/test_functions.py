@@ -70,7 +70,7 @@ VECTORS = "a array<double>, b array<double>"
 
 
 def test_similarity(spark):
-    df = spark.createDataFrame([(axis(0), axis(0)), (axis(0), axis(1)), ([1.0, 2.0, 3.0], [2.0, 4.0, 6.0]), ([3.0, 4.0, 0.0], [0.0, 0.0, 0.0]), ([], []), (None, [0.0]), ([1.0, None, 2.0], [2.0, 5.0, 1.0])], VECTORS)
+    df = spark.createDataFrame([(axis(0), axis(0)), (axis(0), axis(1)), ([2.0, 4.0, 6.0], [1.0, 2.0, 3.0]), ([3.0, 4.0, 0.0], [0.0, 0.0, 0.0]), ([], []), (None, [0.0]), ([1.0, None, 2.0], [2.0, 5.0, 1.0])], VECTORS)
     got = df.select(vectors.cosine_similarity("a", "b"), vectors.dot_product("a", "b"), ai("a").euclidean_distance("b")).collect()
     want = [(1, 1, 0), (0, 0, math.sqrt(2)), (1, 28, math.sqrt(14)), (0, 0, 5), (0, 0, 0), (None, None, None), (4 / 5, 4, math.sqrt(2))]
     for g, w in zip(got, want):
