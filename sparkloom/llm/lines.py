@@ -9,7 +9,7 @@ occurrence (lowest id, then lowest place) stays and the others are taken out.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -58,6 +58,30 @@ def chunks(text: str) -> list[tuple[int, int, bool]]:
     return out
 
 
+def pieces(text: str) -> list[tuple[int, int]]:
+    """(first line, line after the last) of every removable chunk and of the least runs of LONG_LINE_WORDS words from and up to every line."""
+    out = {(a, z) for a, z, may in chunks(text) if may}
+    n = [len(line.split()) for line in text.split("\n")]
+    z = total = 0
+    for a in range(len(n)):
+        while z < len(n) and total < LONG_LINE_WORDS:
+            total += n[z]
+            z += 1
+        if total < LONG_LINE_WORDS:
+            break
+        out.add((a, z))
+        total -= n[a]
+    a = total = 0
+    for z in range(1, len(n) + 1):
+        total += n[z - 1]
+        while total - n[a] >= LONG_LINE_WORDS:
+            total -= n[a]
+            a += 1
+        if total >= LONG_LINE_WORDS:
+            out.add((a, z))
+    return sorted(out)
+
+
 def _chunk_bytes(text: str, spans: list[tuple[int, int, bool]]) -> list[bytes]:
     lines = text.split("\n")
     return ["\n".join(lines[a:b]).encode("utf-8", "surrogatepass") for a, b, _ in spans]
@@ -125,6 +149,68 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     return later.groupBy("id", "key").agg(F.sort_array(F.collect_list("no")).alias("nos"))
 
 
+def passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, key, spans): the runs of lines (first, after the last) to take out of each document, by its pieces that stand earlier."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def make():
+        import xxhash
+
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            row, key, first, end, hashed = [], [], [], [], []
+            for r, t in enumerate(b.column(1).to_pylist()):
+                if not t:
+                    continue
+                k, lines = xxh(t), [x.encode("utf-8", "surrogatepass") for x in t.split("\n")]
+                for a, z in pieces(t):
+                    c = b"\n".join(lines[a:z])
+                    if not c.isspace() and c:
+                        row.append(r)
+                        key.append(k)
+                        first.append(a)
+                        end.append(z)
+                        hashed.append(xxhash.xxh3_64_intdigest(c) - (1 << 63))
+            return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(key, pa.int64()), pa.array(first, pa.int32()), pa.array(end, pa.int32()), pa.array(hashed, pa.int64())], names=["id", "key", "a", "z", "hash"])
+
+        return run
+
+    place = F.struct("id", "key", "a")
+    found = per_batch(docs, [id_col, text_col], make, f"`id` {kind}, key long, a int, z int, hash long").withColumn("o", F.min(place).over(Window.partitionBy("hash")))
+    # Pieces that lie at one distance from their first places are joined where they touch.
+    same_shift = Window.partitionBy("id", "key", "oid", "okey", "shift").orderBy("a", "z")
+    later = found.filter(~place.eqNullSafe(F.col("o"))).select("id", "key", "a", "z", F.col("o.id").alias("oid"), F.col("o.key").alias("okey"), (F.col("a") - F.col("o.a")).alias("shift"))
+    reach = F.max("z").over(same_shift.rowsBetween(Window.unboundedPreceding, -1))
+    islands = later.withColumn("new", F.when(F.col("a") <= reach, 0).otherwise(1)).withColumn("part", F.sum("new").over(same_shift.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = written(islands.groupBy("id", "key", "oid", "okey", "shift", "part").agg(F.min("a").alias("a"), F.max("z").alias("z")))
+    both = runs.select("id", "key", "a", "z").unionByName(runs.select(F.col("oid").alias("id"), F.col("okey").alias("key"), (F.col("a") - F.col("shift")).alias("a"), (F.col("z") - F.col("shift")).alias("z")))
+    wanted = both.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_set(F.struct("a", "z")).alias("_spans"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("_id"))).select("id", "text", "_key", "_spans")
+
+    def make_bodies():
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            row, first, end, body = [], [], [], []
+            keys, spans = b.column(2).to_pylist(), b.column(3).to_pylist()
+            for r, t in enumerate(b.column(1).to_pylist()):
+                if t and xxh(t) == keys[r]:
+                    lines = t.split("\n")
+                    for s in spans[r]:
+                        row.append(r)
+                        first.append(s["a"])
+                        end.append(s["z"])
+                        body.append("\n".join(lines[s["a"] : s["z"]]).encode("utf-8", "surrogatepass"))
+            at = pa.array(row, pa.int64())
+            return pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array(first, pa.int32()), pa.array(end, pa.int32()), pa.array(body, pa.binary())], names=["id", "key", "a", "z", "body"])
+
+        return run
+
+    bodies = per_batch(texts, ["id", "text", "_key", "_spans"], make_bodies, f"`id` {kind}, key long, a int, z int, body binary")
+    # As in repeats: grouping by the bytes is the comparison.
+    same = written(bodies.withColumn("h", F.xxhash64("body")))
+    first = same.groupBy("h", "body").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).select(F.col("h").alias("h2"), F.col("body").alias("b2"), "first")
+    gone = same.join(first.hint("merge"), (F.col("h") == F.col("h2")) & (F.col("body") == F.col("b2"))).filter(~place.eqNullSafe(F.col("first")))
+    return gone.groupBy("id", "key").agg(F.collect_set(F.struct("a", "z")).alias("spans"))
+
+
 def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
     """``docs`` without repeated chunks; documents of which nothing but blanks is left are dropped.
 
@@ -133,9 +219,33 @@ def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     are cut alike. If the table has ``count_col``, it is the number of characters of a text that was cut. Other columns
     pass through. Short single lines are never removed, however often they occur.
     """
+
+    def left_of(text: str, nos) -> str:
+        gone, lines = set(nos), text.split("\n")
+        return "\n".join(line for i, (a, z, _) in enumerate(chunks(text)) if i not in gone for line in lines[a:z])
+
+    return _cut(docs, repeats(docs, id_col=id_col, text_col=text_col).withColumnRenamed("nos", "what"), left_of, id_col, text_col, count_col)
+
+
+def drop_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
+    """As ``drop_repeats``, but every run of lines of LONG_LINE_WORDS words or more that stands earlier goes whole, wherever the chunks are cut.
+
+    Of every line that goes, an earlier copy stays. Runs of fewer words go only as whole chunks.
+    """
+
+    def left_of(text: str, spans) -> str:
+        gone = {i for s in spans for i in range(s["a"], s["z"])}
+        return "\n".join(line for i, line in enumerate(text.split("\n")) if i not in gone)
+
+    return _cut(docs, passages(docs, id_col=id_col, text_col=text_col).withColumnRenamed("spans", "what"), left_of, id_col, text_col, count_col)
+
+
+def _cut(docs: DataFrame, what: DataFrame, left_of, id_col: str, text_col: str, count_col: str | None) -> DataFrame:
+    """``docs`` with ``left_of(text, what)`` for the texts of ``what`` (id, key, what)."""
     gone_id, gone = (fresh(docs.columns, x) for x in ("_gone_id", "_gone"))
-    cut = repeats(docs, id_col=id_col, text_col=text_col).groupBy("id").agg(F.collect_list(F.struct("key", "nos")).alias(gone)).withColumnRenamed("id", gone_id)
-    joined = docs.join(cut, F.col(id_col).eqNullSafe(F.col(gone_id)), "left").drop(gone_id)
+    cut = what.groupBy("id").agg(F.collect_list(F.struct("key", "what")).alias(gone)).withColumnRenamed("id", gone_id)
+    # Rows a document aren't broadcast, however few they are.
+    joined = docs.join(cut.hint("merge"), F.col(id_col).eqNullSafe(F.col(gone_id)), "left").drop(gone_id)
     at, last = docs.columns.index(text_col), len(docs.columns)
     n_at = docs.columns.index(count_col) if count_col in docs.columns else None
 
@@ -148,11 +258,10 @@ def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 if not by_key or not t:
                     continue
                 k = xxh(t)
-                nos = next((x["nos"] for x in by_key if x["key"] == k), None)
-                if not nos:
+                of = next((x["what"] for x in by_key if x["key"] == k), None)
+                if not of:
                     continue
-                nos, lines = set(nos), t.split("\n")
-                left = "\n".join(line for i, (a, z, _) in enumerate(chunks(t)) if i not in nos for line in lines[a:z])
+                left = left_of(t, of)
                 changed[r] = left
                 keep[r] = bool(left.strip())
             cols = [b.column(i) for i in range(last)]
@@ -168,5 +277,5 @@ def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    """Every document that is left, with its text less the repeated chunks."""
-    return drop_repeats(common.table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars")
+    """Every document that is left, with its text less the repeated passages."""
+    return drop_passages(common.table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars")

@@ -101,6 +101,34 @@ def test_line_dedup_finds_shifted_passages(spark):
     assert [r["text"] for r in two] == ["a\n" + long, "b", "short\nlines", "short\nother"]
 
 
+def test_passages_of_a_few_lines_go_whole(spark):
+    rng = random.Random(8)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    for n, words in ((2, 30), (3, 20), (4, 15), (5, 10), (8, 7), (3, 25)):
+        runs = [[line(words) for _ in range(n)] for _ in range(20)]
+        data = [(2 * k + second, "\n".join([*(line(9) for _ in range(1 + rng.randrange(4))), *run, *(line(9) for _ in range(1 + rng.randrange(4)))])) for k, run in enumerate(runs) for second in (0, 1)]
+        kept = {r["doc_id"]: r["text"].split("\n") for r in lines.drop_passages(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+        for i, t in data:
+            assert kept[i] == [x for x in t.split("\n") if not (i % 2 and x in runs[i // 2])]
+
+
+def test_passages_against_all_pairs(spark, docs, rows):
+    """Every line of a common run of 50 words goes but once, and what drop_repeats takes out goes too."""
+    out = lines.drop_passages(docs)
+    assert out.columns == docs.columns
+    kept = Counter(x for r in out.collect() for x in (r["text"] or "").split("\n"))
+    less = Counter(x for r in lines.drop_repeats(docs).collect() for x in (r["text"] or "").split("\n"))
+    assert all(kept[x] <= less[x] for x in kept)
+    assert {x for _, t, *_ in rows if t for x in t.split("\n") if x.strip()} == {x for x in kept if x.strip()}
+    passage, run = rows[63][1].split("\n")[-1], rows[67][1].split("\n")
+    assert len(passage.split()) == 70 and len(run) == 8
+    assert all(kept[x] == 1 for x in (passage, *run))
+
+
+def test_passages_of_nothing(empty):
+    assert lines.drop_passages(empty).count() == 0
+
+
 def test_line_dedup_of_nothing(empty):
     assert lines.drop_repeats(empty).count() == 0
 
