@@ -176,8 +176,6 @@ def card(text: str, at: int, end: int) -> Span | None:
         end += 1
     if end - begin == 4:
         # Digit groups: 4-4-4-4(-3), or 4-6-5.
-        if begin > 4 and text[begin - 1] in " -" and all(map(_digit, text[begin - 5 : begin - 1])):
-            return None  # begun by an earlier anchor
         sign = text[end : end + 1]
         for shape in ((4, 4, 4, 4, 3), (4, 4, 4, 4), (4, 6, 5)):
             to, parts = begin, []

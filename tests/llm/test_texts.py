@@ -104,6 +104,19 @@ def test_personal_data(text, want):
     assert [(text[b:e], k) for b, e, k in pii.Finder()(text)] == want
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("4111 1111 1111 1111 5500 0000 0000 0004", ["4111 1111 1111 1111", "5500 0000 0000 0004"]),
+        ("4111-1111-1111-1111 5500-0000-0000-0004, 3782 822463 10005", ["4111-1111-1111-1111", "5500-0000-0000-0004", "3782 822463 10005"]),
+        ("2024 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+        ("4111 1111 1111 1112 5500 0000 0000 0004", ["5500 0000 0000 0004"]),
+    ],
+)
+def test_grouped_cards_beside_groups_of_four(text, want):
+    assert [text[b:e] for b, e, k in pii.Finder()(text) if k == "card"] == want
+
+
 def slow_pii(text):
     """Every anchor at every place, each given to its parser, without the automaton."""
     found = set()
