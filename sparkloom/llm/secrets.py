@@ -3,7 +3,7 @@
 A rule is a keyword's followers: its expression is matched at the hit and nowhere else, so the expressions never scan a
 text. Where a format carries its own check (the CRC-32 at the end of repository and registry tokens, the JSON header of
 a web token, the length of a private key's outer structure) it is computed, and a match that fails it is no secret. Values
-of general keywords (``token = "..."``) have no check; they must look random.
+of general keywords (``token = "..."``, in any case) have no check; they must look random, or like a password.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import bisect
 import binascii
+import itertools
 import json
 import math
 import re
@@ -51,7 +52,9 @@ def jwt(token: str) -> bool:
 
 def der(block: str) -> bool:
     """The body is base 64; an outer ASN.1 sequence, if it has one, is as long as it says."""
-    body = "".join(line for line in block.split("\n")[1:-1] if ":" not in line).replace("\r", "").replace(" ", "")
+    # Line ends may be escaped, as in JSON and environment files, or blanks.
+    body = re.sub(r"\\+[nrt]", "\n", block.partition(" KEY-----")[2].rpartition("-----END")[0]).replace("\\/", "/")
+    body = "".join("".join(line for line in body.splitlines() if ":" not in line).split())
     try:
         raw = base64.b64decode(body, validate=True)
     except (binascii.Error, ValueError):
@@ -78,6 +81,14 @@ def random_looking(value: str) -> bool:
     return any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and -sum(c / n * math.log2(c / n) for c in Counter(value).values()) >= ENTROPY
 
 
+def password_like(value: str) -> bool:
+    """Letters, and digits or signs that names haven't; characters vary as far as so few can. No placeholder such as ``${NAME}``."""
+    n = len(value)
+    if value.startswith(("${", "$(", "{{", "<", "%(")) or not any(c.isalpha() for c in value) or all(c.isalpha() or c in "_-./" for c in value):
+        return False
+    return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) >= min(ENTROPY, 0.75 * math.log2(n))
+
+
 class Rule(NamedTuple):
     name: str
     keywords: tuple[str, ...]
@@ -88,6 +99,10 @@ class Rule(NamedTuple):
     verifies: bool
 
 
+def _forms(*words: str) -> tuple[str, ...]:
+    return tuple(f for w in words for f in (w, w.capitalize(), w.upper()))
+
+
 _END = r"(?![A-Za-z0-9_\-])"
 RULES = (
     Rule("repository_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), re.compile(r"(gh[pousr]_[A-Za-z0-9]{36})" + _END), crc62, True),
@@ -100,11 +115,22 @@ RULES = (
     Rule("payment_key", ("sk_live_", "rk_live_"), re.compile(r"([sr]k_live_[A-Za-z0-9]{16,})" + _END), random_looking, False),
     Rule(
         "assigned_value",
-        tuple(f for w in ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key", "auth_key") for f in (w, w.capitalize(), w.upper())),
+        _forms("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key", "accesskey", "access-key", "auth_key", "authkey", "auth-key"),
         re.compile(r"[A-Za-z_\-]+[\"']?[ \t]{0,4}(?::=|=>|[:=])[ \t]{0,4}[\"']?([A-Za-z0-9+/_\-]{16,}={0,2})(?![A-Za-z0-9+/_\-=])"),
         random_looking,
         False,
     ),
+    # Passwords are shorter and have other signs: to the closing quote, or to the next blank.
+    Rule(
+        "assigned_value",
+        _forms("password", "passwd"),
+        re.compile(
+            r"[A-Za-z_\-]+[\"']?[ \t]{0,4}(?::=|=>|[:=])[ \t]{0,4}[\"']?"
+            r"((?<=\")[^\"\s]{8,128}(?=\")|(?<=')[^'\s]{8,128}(?=')|(?<![\"'])[^\s\"'<>(){}\[\],;]{8,128}(?![^\s\"'<>,;]))"
+        ),
+        password_like,
+        False,
+    ),
 )
 
 
@@ -112,23 +138,35 @@ class Scanner:
     def __init__(self) -> None:
         import ahocorasick
 
-        self.words = ahocorasick.Automaton()
+        # Keywords of assignments count in any case: they are sought, in lower case, in the lowered text.
+        self.words, self.names = ahocorasick.Automaton(), ahocorasick.Automaton()
+        names: dict[str, list[Rule]] = {}
         for rule in RULES:
             for w in rule.keywords:
-                self.words.add_word(w, (len(w), rule))
+                if rule.name != "assigned_value":
+                    self.words.add_word(w, (len(w), (rule,)))
+                elif rule not in names.setdefault(w.lower(), []):
+                    names[w.lower()].append(rule)
+        for w, rules in names.items():
+            self.names.add_word(w, (len(w), tuple(rules)))
         self.words.make_automaton()
+        self.names.make_automaton()
 
     def __call__(self, text: str | None) -> list[tuple[int, int, str, bool]]:
         """(begin, end, rule, verified) in order, apart; a rule with a check comes before one without, then the earlier, then the longer."""
         if not text:
             return []
         found = set()
-        for last, (n, rule) in self.words.iter(text):
+        low = text.lower()
+        if len(low) != len(text):  # some characters lower to two
+            low = "".join(c.lower() if c.isascii() else c for c in text)
+        for last, (n, rules) in itertools.chain(self.words.iter(text), self.names.iter(low)):
             at = last - n + 1
-            if rule.name != "assigned_value" and at and (text[at - 1].isalnum() or text[at - 1] == "_"):
-                continue
-            if (m := rule.pattern.match(text, at)) and rule.check(m[1]):
-                found.add((*m.span(1), rule.name, rule.verifies))
+            for rule in rules:
+                if rule.name != "assigned_value" and at and (text[at - 1].isalnum() or text[at - 1] == "_"):
+                    continue
+                if (m := rule.pattern.match(text, at)) and rule.check(m[1]):
+                    found.add((*m.span(1), rule.name, rule.verifies))
         out: list[tuple[int, int, str, bool]] = []
         for s in sorted(found, key=lambda s: (not s[3], s[0], -s[1], s[2])):
             k = bisect.bisect_left(out, s)

@@ -193,6 +193,27 @@ def test_secrets(text, want):
     assert [(text[b:e], r, v) for b, e, r, v in secrets.Scanner()(text)] == want
 
 
+def test_keys_with_other_line_ends():
+    for end in ("\\n", "\\\\n", "\\r\\n", " ", "\r\n", "\n    "):
+        for wrong in (0, 1):
+            text = '{"private_key": "' + key(90, wrong).replace("\n", end) + '"}'
+            assert [(text[b:e], r) for b, e, r, _ in secrets.Scanner()(text)] == [(key(90).replace("\n", end), "private_key")][: 1 - wrong]
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("password = Tr0ub4dor", ["Tr0ub4dor"]),
+        ("PassWord: 'p@ss w0rd' passwd=\"S3c!r;t,9\"", ["S3c!r;t,9"]),
+        (f'apiKey: "{HEX}", Api_Key={HEX[::-1]}; accessKey => {HEX[1:]}', [HEX, HEX[::-1], HEX[1:]]),
+        ("password = hunter2, password: ${DB_PASSWORD1}, password = self.password, password = os.environ['DB_PASS1'], password: ********", []),
+        (f"İ ToKeN = {HEX}", [HEX]),
+    ],
+)
+def test_passwords_and_cases_of_keywords(text, want):
+    assert [text[b:e] for b, e, r, _ in secrets.Scanner()(text) if r == "assigned_value"] == want
+
+
 def slow_secrets(text):
     """Every rule's expression at every place where one of its keywords stands."""
     found = set()
