@@ -1,16 +1,13 @@
-"""Near-duplicate documents by SimHash with a pigeonring filter.
-
-A document's 256-bit SimHash weighs its distinct words by 1 + log of their count. The bits are a ring of 32 segments of 8
-bits. Two hashes within the distance budget differ on average by at most budget / 32 bits a segment, so chains of
-consecutive segments exist whose summed differences stay within the proportional budget at every length. A chain's first
-three segments are required to be equal; that makes it a key, and every hash is looked up by the 32 keys of its ring.
-Within a key, differences are summed along the chain, a segment at a time, and a pair is dropped at the first length at
-which its sum exceeds ``length * budget / 32``; what survives CHAIN segments gets the full Hamming check.
-
-Requiring equality at the start makes the search approximate: a pair whose differences leave no three equal segments in
-a row is missed. Recall is measured in the tests and the README. No key's group is capped: the pairs of a group are
-compared in blocks, and only the edges that join new parts of it are passed on, so a group of thousands of copies gives
-thousands of edges, not millions. Equal hashes are first made one.
+"""Near-duplicate documents by SimHash with keys over permuted bits.
+
+A document's 256-bit SimHash weighs its distinct words by 1 + log of their count. The bits are laid out in PERMUTATIONS
+fixed random orders, and each order is cut into keys of KEY_BITS bits that share none. Hashes that agree in any key are
+compared in full: every pair within the distance budget that shares a key is found. No segment of a pigeonring chain must
+be equal any more (SEED is 0), so by the pigeonring theorem every pair within the budget is due.
+
+The search is approximate: a pair that shares no key is missed. Recall is measured in the tests and the README. No key's
+group is capped: the pairs of a large group are compared in blocks, and only the edges that join new parts of it are
+passed on, so a group of thousands of copies gives thousands of edges, not millions. Equal hashes are first made one.
 """
 
 from __future__ import annotations
@@ -26,7 +23,11 @@ from pyspark.sql import functions as F
 from . import common
 from .common import fresh, per_batch, written
 
-BITS, SEGMENTS, SEED, CHAIN = 256, 32, 3, 10
+BITS, SEGMENTS, SEED, CHAIN = 256, 32, 0, 10
+PERMUTATIONS, KEY_BITS = 5, 20
+KEYS = BITS // KEY_BITS
+#: Groups of up to so many are compared all at once.
+SMALL = 16
 BYTES = BITS // 8
 #: The most bits in which near-duplicates differ.
 BUDGET = 36
@@ -97,17 +98,15 @@ def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return per_batch(docs, [id_col, text_col], make, f"`id` {docs.schema[id_col].dataType.simpleString()}, sig binary")
 
 
-def join_within(sigs, start: int, budget: int):
-    """Pairs (a, b) of row numbers that join the near-duplicates among ``sigs`` (n x BYTES, equal from segment ``start`` for SEED segments).
+def join_within(sigs, budget: int):
+    """Pairs (a, b) of row numbers that join the near-duplicates among ``sigs`` (n x BYTES).
 
-    Any two rows that pass chain and Hamming check are connected by the pairs; pairs that join nothing new are left out.
+    Any two rows within the budget are connected by the pairs; pairs that join nothing new are left out.
     """
     import numpy as np
 
     n = len(sigs)
-    order = [(start + j) % SEGMENTS for j in range(SEGMENTS)]
-    ring = sigs[:, order]
-    words = np.ascontiguousarray(ring).view(np.uint64)
+    words = np.ascontiguousarray(sigs).view(np.uint64)
     parent = np.arange(n)
     pairs = []
 
@@ -118,25 +117,17 @@ def join_within(sigs, start: int, budget: int):
         return x
 
     for lo in range(0, n, BLOCK):
-        a = slice(lo, min(n, lo + BLOCK))
+        a = words[lo : lo + BLOCK]
         for lo2 in range(lo, n, BLOCK):
-            b = slice(lo2, min(n, lo2 + BLOCK))
-            alive = np.ones((a.stop - a.start, b.stop - b.start), dtype=bool)
-            if lo == lo2:
-                alive = np.triu(alive, 1)
-            i, j = np.nonzero(alive)
-            total = np.zeros(len(i), dtype=np.uint8)
-            for k in range(SEED, CHAIN):
-                total += np.bitwise_count(ring[a][i, k] ^ ring[b][j, k])
-                ok = total <= (k + 1) * budget // SEGMENTS
-                i, j, total = i[ok], j[ok], total[ok]
-                if not len(i):
-                    break
-            if not len(i):
-                continue
-            full = np.bitwise_count(words[a][i] ^ words[b][j]).sum(1, dtype=np.uint16)
+            b = words[lo2 : lo2 + BLOCK]
+            full = np.zeros((len(a), len(b)), dtype=np.uint16)
+            for k in range(words.shape[1]):
+                full += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
             ok = full <= budget
-            for x, y in zip((i[ok] + lo).tolist(), (j[ok] + lo2).tolist()):
+            if lo == lo2:
+                ok = np.triu(ok, 1)
+            i, j = np.nonzero(ok)
+            for x, y in zip((i + lo).tolist(), (j + lo2).tolist()):
                 rx, ry = root(x), root(y)
                 if rx != ry:
                     parent[max(rx, ry)] = min(rx, ry)
@@ -144,6 +135,20 @@ def join_within(sigs, start: int, budget: int):
     return pairs
 
 
+def _all_within(words, node, sizes, budget: int):
+    """(a, b) nodes within the budget among rows that lie in groups of ``sizes`` one after another."""
+    import numpy as np
+
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    left = ends - np.arange(len(ends)) - 1
+    i, step = np.flatnonzero(left >= 1), 1
+    while len(i):
+        ok = i[np.bitwise_count(words[i] ^ words[i + step]).sum(1, dtype=np.uint16) <= budget]
+        yield from zip(node[ok].tolist(), node[ok + step].tolist())
+        step += 1
+        i = i[left[i] >= step]
+
+
 def edges(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
     """(a, b) numbers of near-duplicates among ``distinct`` (node long, sig), enough to connect all that were found."""
     rows = distinct.mapInArrow(_keys, "key long, node long, sig binary")
@@ -156,14 +161,14 @@ def edges(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
 
         held: list[tuple] = []  # of the last key, which may go on in the next batch
         last = None
-        out: list[tuple[int, int]] = []
+        out: set[tuple[int, int]] = set()  # one pair has many keys
 
-        def found(node, sig, key):
-            out.extend((int(node[x]), int(node[y])) for x, y in join_within(sig, int(key) >> 24, budget))
+        def found(node, sig):
+            out.update((int(node[x]), int(node[y])) for x, y in join_within(sig, budget))
 
         def flush():
             if sum(len(x[0]) for x in held) > 1:
-                found(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), last)
+                found(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
 
         for b in batches:
             if not b.num_rows:
@@ -179,8 +184,12 @@ def edges(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
             held.append((node[: ends[0]], sig[: ends[0]]))
             if len(starts) > 1:
                 flush()
-                for g in np.flatnonzero(ends[1:-1] - starts[1:-1] > 1) + 1:
-                    found(node[starts[g] : ends[g]], sig[starts[g] : ends[g]], key[starts[g]])
+                sizes = ends[1:-1] - starts[1:-1]
+                for g in np.flatnonzero(sizes > SMALL) + 1:
+                    found(node[starts[g] : ends[g]], sig[starts[g] : ends[g]])
+                few = (sizes > 1) & (sizes <= SMALL)
+                rows = np.flatnonzero(np.repeat(few, sizes)) + ends[0]
+                out.update(_all_within(np.ascontiguousarray(sig[rows]).view(np.uint64), node[rows], sizes[few], budget))
                 held, last = [(node[starts[-1] :], sig[starts[-1] :])], key[-1]
             if len(out) > 50_000:
                 yield _pairs(out)
@@ -197,23 +206,22 @@ def _pairs(x):
 
 
 def _keys(batches):
-    """Every ring start's key: the start and the SEED segments from it on."""
+    """Every key of every hash: the number of the key, then its bits."""
     import numpy as np
 
+    orders = np.concatenate([np.random.Generator(np.random.PCG64(p)).permutation(BITS)[: KEYS * KEY_BITS] for p in range(PERMUTATIONS)])
+    count, powers = PERMUTATIONS * KEYS, (1 << np.arange(KEY_BITS)).astype(np.float32)
     for b in batches:
         if not b.num_rows:
             continue
         sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, BYTES)
-        n = len(sig)
-        wide = np.concatenate([sig, sig[:, : SEED - 1]], 1).astype(np.int64)
-        keys = np.zeros((n, SEGMENTS), dtype=np.int64)
-        for j in range(SEED):
-            keys = keys * 256 + wide[:, j : j + SEGMENTS]
-        keys += np.arange(SEGMENTS, dtype=np.int64) << 24
-        for lo in range(0, n, 2000):
-            m = min(n, lo + 2000) - lo
-            at = np.repeat(np.arange(lo, lo + m), SEGMENTS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + m].ravel()), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], names=["key", "node", "sig"])
+        for lo in range(0, len(sig), 1000):
+            bits = np.unpackbits(sig[lo : lo + 1000], axis=1)
+            m = len(bits)
+            keys = (bits[:, orders].reshape(m * count, KEY_BITS) @ powers).astype(np.int64).reshape(m, count)
+            keys += np.arange(count, dtype=np.int64) << KEY_BITS
+            at = np.repeat(np.arange(lo, lo + m), count)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], names=["key", "node", "sig"])
 
 
 def components(pairs: DataFrame) -> DataFrame:

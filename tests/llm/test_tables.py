@@ -161,6 +161,21 @@ def test_recall(spark):
     assert close > 50 and found / close >= 0.9
 
 
+def test_recall_in_every_band(spark):
+    """Hashes that differ in bits chosen evenly: edges() finds 0.9 of the pairs at any distance up to the budget."""
+    rng = brute.np.random.default_rng(6)
+    bands, sigs = (6, 18, 24, 27, 30, 33, 36), []
+    for d in bands:
+        for _ in range(400):
+            a = rng.integers(0, 2, simhash.BITS)
+            b = a.copy()
+            b[rng.choice(simhash.BITS, d, replace=False)] ^= 1
+            sigs += [bytes(brute.np.packbits(x).tolist()) for x in (a, b)]
+    df = spark.createDataFrame(list(enumerate(sigs)), "node long, sig binary")
+    found = Counter(min(r["a"], r["b"]) // 800 for r in simhash.edges(df).distinct().collect() if abs(r["a"] - r["b"]) == 1)
+    assert all(found[k] >= 0.9 * 400 for k in range(len(bands))), found
+
+
 def test_many_copies(spark):
     text = " ".join(f"word{k}" for k in range(200))
     df = spark.createDataFrame([(k, text if k % 2 else text + f" more{k}") for k in range(1500)], "doc_id long, text string")
