@@ -236,15 +236,25 @@ def _vbr(data: bytes, at: int, h: Header, out: Stream) -> bool:
     return True
 
 
+def _is_tag(data: bytes, at: int, end: int) -> bool:
+    """Whether a whole header of an ID3v2 tag stands at ``at``: versions 2 to 4, and a size of four seven-bit bytes."""
+    return data[at : at + 3] == b"ID3" and at + 10 <= end and 2 <= data[at + 3] <= 4 and max(data[at + 6 : at + 10]) < 128
+
+
+#: Free-format frames are sought up to so many kilobits a second, twice the most that the tables name.
+FREE_KBPS = 640
+
+
 def _free_length(data: bytes, at: int, h: Header, end: int) -> int:
     """The length of a free-format frame: the distance to the next header that agrees, which is the same once more, or to the end."""
+    end, whole = min(end, at + 125 * h.samples * FREE_KBPS // h.rate + 8), end
     k = data.find(b"\xff", at + 24, end)
     while k >= 0:
         g = header(data, k)
         if g and h.agrees(g):
             n = k - at - h.padding * (4 if h.layer == 1 else 1)
             after = k + n + g.padding * (4 if g.layer == 1 else 1)
-            if after == end or ((f := header(data, after)) and h.agrees(f)):
+            if after == whole or ((f := header(data, after)) and h.agrees(f)):
                 return k - at
         k = data.find(b"\xff", k + 1, end)
     return 0
@@ -253,9 +263,10 @@ def _free_length(data: bytes, at: int, h: Header, end: int) -> int:
 def parse(data: bytes | None) -> Stream | None:
     """What the bytes hold; None for null. Without a frame all numbers are 0 and the format is null.
 
-    A frame counts if it is whole and, at the start or after a break, if its successor agrees with it or the data end
-    behind it. A frame with a bad checksum counts, and is counted among the bad. Frames of another version, layer or rate
-    than the first are junk. ``n_resyncs`` is how often frames broke off before the end. Offsets are from the start of the data; a table's frame is not among them.
+    A frame counts if it is whole and, at the start or after a break, if its successor agrees with it, or if the data end
+    or a tag with a whole header begins behind it. A frame with a bad checksum counts, and is counted among the bad. Frames of another version, layer or rate
+    than the first are junk. The length of free-format frames is measured anew after every break; where that can't be
+    done, it is the one before the break. ``n_resyncs`` is how often frames broke off before the end. Offsets are from the start of the data; a table's frame is not among them.
     """
     if data is None:
         return None
@@ -266,9 +277,9 @@ def parse(data: bytes | None) -> Stream | None:
         size = int.from_bytes(data[end - 20 : end - 16], "little") + (32 if data[end - 9] & 0x80 else 0)
         end = max(0, end - size)
     first: Header | None = None
-    synced, free = False, 0
+    synced, free, confirmed = False, 0, 0
     while pos < end:
-        if data[pos : pos + 3] == b"ID3" and pos + 10 <= end and 2 <= data[pos + 3] <= 4 and max(data[pos + 6 : pos + 10]) < 128:
+        if _is_tag(data, pos, end):
             pos = _id3v2(data, pos, out)
             continue
         h = header(data, pos)
@@ -276,13 +287,15 @@ def parse(data: bytes | None) -> Stream | None:
         if h and (first is None or first.agrees(h)):
             n = h.length
             if not n:
-                free = free or _free_length(data, pos, h, end) - h.padding * (4 if h.layer == 1 else 1)
-                n = free + h.padding * (4 if h.layer == 1 else 1) if free > 0 else 0
+                padding = h.padding * (4 if h.layer == 1 else 1)
+                free = free or max(0, _free_length(data, pos, h, end) - padding) or confirmed
+                n = free + padding if free else 0
         if n and pos + n <= end:
             if not synced:
                 g = header(data, pos + n)
-                synced = pos + n == end or data[pos + n : pos + n + 3] == b"ID3" or bool(g and h.agrees(g))
+                synced = pos + n == end or _is_tag(data, pos + n, end) or bool(g and h.agrees(g))
             if synced:
+                confirmed = free
                 if first is None:
                     first = h
                     out.version, out.layer, out.channels, out.sample_rate = {3: 1, 2: 2, 0: 25}[h.version], h.layer, h.channels, h.rate
@@ -298,7 +311,7 @@ def parse(data: bytes | None) -> Stream | None:
                 continue
         if synced and first is not None:
             out.n_resyncs += 1
-        synced = False
+        synced, free = False, 0
         # The next byte that may begin a header or a tag.
         a = data.find(b"\xff", pos + 1, end)
         b = data.find(b"ID3", pos + 1, end if a < 0 else a)
@@ -325,7 +338,8 @@ def describe(media: DataFrame, *, id_col: str = "doc_id", data_col: str = "audio
     """A row of facts for every row: format, frames, exact duration, tags, tables, checks and frame offsets.
 
     Null bytes give null facts; empty bytes and bytes without a frame give noughts and a null format. Repeated rows and
-    null ids give a row each; columns other than the two are ignored.
+    null ids give a row each, so there are no ties to settle; an empty table gives no rows. Streams of any length are read
+    whole, in time linear in it. Columns other than the two are ignored; a fact named like the id has underscores before it.
     """
     fields = [x.strip().rsplit(" ", 1) for x in _SCHEMA.replace(", ", ",").split(",")]
 
@@ -337,7 +351,7 @@ def describe(media: DataFrame, *, id_col: str = "doc_id", data_col: str = "audio
 
         return run
 
-    return per_batch(media, [id_col, data_col], make, f"`{id_col}` {media.schema[id_col].dataType.simpleString()}, {_SCHEMA}")
+    return per_batch(media, [id_col, data_col], make, common.schema_of(id_col, media.schema[id_col].dataType.simpleString(), dict(fields)))
 
 
 #: The made streams: kilobits of a cycle's frames, of layer III, MPEG 1, 44,100 a second, stereo.

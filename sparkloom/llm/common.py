@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import base64
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import cost
+
 #: Bits of the document hash that orders and samples documents.
 HASH_BITS = 60
 
@@ -64,28 +64,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t\n\r]+")), F.lit(0)).cast("long")
 
 
-def bpe_count(ranks_path: str, pattern: str) -> Callable[[Column], Column]:
+def bpe_count(ranks_path: str, pattern: str = cost.SPLIT) -> Callable[[Column], Column]:
     """A token counter by a byte-level BPE vocabulary of ranks (``base64 rank`` lines), for ``tokens=`` parameters.
 
     The file must be readable at that path on every executor. Null counts 0.
     """
-    held: dict[str, object] = {}
-
-    def encoder():
-        if "e" not in held:
-            import tiktoken
-
-            with open(ranks_path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-            held["e"] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return held["e"]
-
-    @F.pandas_udf("long")
-    def count(texts: pd.Series) -> pd.Series:
-        e = encoder()
-        return pd.Series([0 if t is None else len(e.encode_ordinary(t)) for t in texts], dtype="int64")
-
-    return lambda c: count(c)
+    return lambda c: F.coalesce(cost.count_tokens(c, tokenizer=cost.rank_tokenizer(ranks_path, pattern)), F.lit(0).cast("long"))
 
 
 def per_batch(df: DataFrame, columns: Iterable[str], make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
@@ -110,5 +94,10 @@ def fresh(taken: Iterable[str], name: str) -> str:
     return name
 
 
+def schema_of(id_col: str, id_kind: str, ours: Mapping[str, str]) -> str:
+    """The schema of an id column and of ``ours`` (name: type), which have underscores before them where they are named like the id."""
+    return f"`{id_col}` {id_kind}, " + ", ".join(f"`{fresh([id_col], n)}` {k}" for n, k in ours.items())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

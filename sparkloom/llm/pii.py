@@ -296,8 +296,11 @@ class Finder:
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, kind, begin, end, value) of all personal data, places counted in characters from 0.
 
-    Null and empty texts give no rows; repeated rows give theirs each; a null id is passed on; other columns are ignored.
+    Null and empty texts, and an empty table, give no rows; repeated rows give theirs each; a null id is passed on. Texts
+    are read whole, however long. Of finds that overlap, the first and then the longest counts; two kinds of one place go
+    by name. Other columns are ignored; a column of ours that is named like the id has underscores before it.
     """
+    ours = {"kind": "string", "begin": "long", "end": "long", "value": "string"}
 
     def make():
         f = Finder()
@@ -315,7 +318,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
         return run
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return per_batch(docs, [id_col, text_col], make, f"`{id_col}` {kind}, kind string, begin long, end long, value string")
+    return per_batch(docs, [id_col, text_col], make, common.schema_of(id_col, kind, ours))
 
 
 def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:

@@ -11,7 +11,6 @@ from __future__ import annotations
 import base64
 import bisect
 import binascii
-import itertools
 import json
 import math
 import re
@@ -46,23 +45,29 @@ def jwt(token: str) -> bool:
     head = token.split(".")[0]
     try:
         return "alg" in json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
-    except (ValueError, TypeError):
+    except (ValueError, TypeError, RecursionError):
         return False
 
 
+#: A header within a key's marks, as encrypted keys have them; its value has no blanks.
+_KEY_HEADER = re.compile(r"[A-Za-z][A-Za-z-]*:[ \t]*\S*")
+
+
 def der(block: str) -> bool:
-    """The body is base 64; an outer ASN.1 sequence, if it has one, is as long as it says."""
+    """The body is base 64; an outer ASN.1 sequence, if it has one, is as long as it says; a body that a header calls encrypted is of whole cipher blocks."""
     # Line ends may be escaped, as in JSON and environment files, or blanks.
     body = re.sub(r"\\+[nrt]", "\n", block.partition(" KEY-----")[2].rpartition("-----END")[0]).replace("\\/", "/")
-    body = "".join("".join(line for line in body.splitlines() if ":" not in line).split())
+    heads = _KEY_HEADER.findall(body)
     try:
-        raw = base64.b64decode(body, validate=True)
+        raw = base64.b64decode("".join(_KEY_HEADER.sub(" ", body).split()), validate=True)
     except (binascii.Error, ValueError):
         return False
+    if any(x.startswith("Proc-Type:") and x.endswith("ENCRYPTED") for x in heads):
+        return len(raw) > 15 and len(raw) % 8 == 0
     if raw[:15] == b"openssh-key-v1\0":
         return True
     if len(raw) < 4 or raw[0] != 0x30:
-        return "ENCRYPTED" in block and len(raw) > 15
+        return False
     n = raw[1] & 0x7F
     return len(raw) == (2 + raw[1] if raw[1] < 128 else 2 + n + int.from_bytes(raw[2 : 2 + n], "big"))
 
@@ -104,19 +109,22 @@ def _forms(*words: str) -> tuple[str, ...]:
 
 
 _END = r"(?![A-Za-z0-9_\-])"
+#: The rest of the name that a keyword begins in; nothing that may follow it is of these characters.
+_NAME = r"[A-Za-z_\-]++"
+_NAME_END, _TOKEN_END = re.compile(_NAME), re.compile(r"[A-Za-z0-9_\-]++")
 RULES = (
     Rule("repository_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), re.compile(r"(gh[pousr]_[A-Za-z0-9]{36})" + _END), crc62, True),
     Rule("registry_token", ("npm_",), re.compile(r"(npm_[A-Za-z0-9]{36})" + _END), crc62, True),
-    Rule("web_token", ("eyJ",), re.compile(r"(eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]*)" + _END), jwt, True),
-    Rule("private_key", ("-----BEGIN",), re.compile(r"(-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----[^-]*-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----)"), der, True),
+    Rule("web_token", ("eyJ",), re.compile(r"(eyJ[A-Za-z0-9_\-]{8,}+\.eyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]*+)"), jwt, True),
+    Rule("private_key", ("-----BEGIN",), re.compile(r"(-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----[^-]*+(?:-(?!----)[^-]*+)*+-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----)"), der, True),
     Rule("cloud_key_id", ("AKIA", "ASIA"), re.compile(r"(A[KS]IA[A-Z2-7]{16})" + _END), aws_account, True),
     Rule("api_key_35", ("AIza",), re.compile(r"(AIza[A-Za-z0-9_\-]{35})" + _END), random_looking, False),
-    Rule("chat_token", ("xoxb-", "xoxp-", "xoxa-", "xoxs-"), re.compile(r"(xox[baps]-[0-9]+-[A-Za-z0-9\-]{10,})" + _END), random_looking, False),
-    Rule("payment_key", ("sk_live_", "rk_live_"), re.compile(r"([sr]k_live_[A-Za-z0-9]{16,})" + _END), random_looking, False),
+    Rule("chat_token", ("xoxb-", "xoxp-", "xoxa-", "xoxs-"), re.compile(r"(xox[baps]-[0-9]+-[A-Za-z0-9\-]{10,250})" + _END), random_looking, False),
+    Rule("payment_key", ("sk_live_", "rk_live_"), re.compile(r"([sr]k_live_[A-Za-z0-9]{16,247})" + _END), random_looking, False),
     Rule(
         "assigned_value",
         _forms("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key", "accesskey", "access-key", "auth_key", "authkey", "auth-key"),
-        re.compile(r"[A-Za-z_\-]+[\"']?[ \t]{0,4}(?::=|=>|[:=])[ \t]{0,4}[\"']?([A-Za-z0-9+/_\-]{16,}={0,2})(?![A-Za-z0-9+/_\-=])"),
+        re.compile(_NAME + r"[\"']?[ \t]{0,4}(?::=|=>|[:=])[ \t]{0,4}[\"']?([A-Za-z0-9+/_\-]{16,}+={0,2})(?![A-Za-z0-9+/_\-=])"),
         random_looking,
         False,
     ),
@@ -125,7 +133,7 @@ RULES = (
         "assigned_value",
         _forms("password", "passwd"),
         re.compile(
-            r"[A-Za-z_\-]+[\"']?[ \t]{0,4}(?::=|=>|[:=])[ \t]{0,4}[\"']?"
+            _NAME + r"[\"']?[ \t]{0,4}(?::=|=>|[:=])[ \t]{0,4}[\"']?"
             r"((?<=\")[^\"\s]{8,128}(?=\")|(?<=')[^'\s]{8,128}(?=')|(?<![\"'])[^\s\"'<>(){}\[\],;]{8,128}(?![^\s\"'<>,;]))"
         ),
         password_like,
@@ -153,20 +161,39 @@ class Scanner:
         self.names.make_automaton()
 
     def __call__(self, text: str | None) -> list[tuple[int, int, str, bool]]:
-        """(begin, end, rule, verified) in order, apart; a rule with a check comes before one without, then the earlier, then the longer."""
+        """(begin, end, rule, verified) in order, apart; a rule with a check comes before one without, then the earlier, then the longer.
+
+        Time is linear in the text: all keywords of one name share what follows it, and all starts of a web token its end.
+        """
         if not text:
             return []
         found = set()
         low = text.lower()
         if len(low) != len(text):  # some characters lower to two
             low = "".join(c.lower() if c.isascii() else c for c in text)
-        for last, (n, rules) in itertools.chain(self.words.iter(text), self.names.iter(low)):
+        tokens = _WebTokens(text)
+        for last, (n, rules) in self.words.iter(text):
             at = last - n + 1
+            if at and (text[at - 1].isalnum() or text[at - 1] == "_"):
+                continue
             for rule in rules:
-                if rule.name != "assigned_value" and at and (text[at - 1].isalnum() or text[at - 1] == "_"):
-                    continue
-                if (m := rule.pattern.match(text, at)) and rule.check(m[1]):
+                if rule.check is jwt:
+                    if (end := tokens.end(at)) > at:
+                        found.add((at, end, rule.name, True))
+                elif (m := rule.pattern.match(text, at)) and rule.check(m[1]):
                     found.add((*m.span(1), rule.name, rule.verifies))
+        name_end, tried = 0, set()
+        for last, (n, rules) in self.names.iter(low):
+            at = last - n + 1
+            if at >= name_end:
+                m = _NAME_END.match(text, at)
+                name_end, tried = m.end() if m else last + 1, set()
+            for rule in rules:
+                if id(rule) not in tried:
+                    tried.add(id(rule))
+                    # From the last character of the name on: what comes before it was only passed over.
+                    if (m := rule.pattern.match(text, name_end - 1)) and rule.check(m[1]):
+                        found.add((*m.span(1), rule.name, rule.verifies))
         out: list[tuple[int, int, str, bool]] = []
         for s in sorted(found, key=lambda s: (not s[3], s[0], -s[1], s[2])):
             k = bisect.bisect_left(out, s)
@@ -175,12 +202,56 @@ class Scanner:
         return out
 
 
+class _WebTokens:
+    """Web tokens of one text. What follows a run of their characters, and the run decoded in each of the four alignments, serve all starts in it."""
+
+    def __init__(self, text: str):
+        self.text, self.stop, self.whole, self.decoded = text, 0, 0, {}
+        self.json = json.JSONDecoder()
+
+    def end(self, at: int) -> int:
+        """The end of the token that begins at ``at``, or 0."""
+        text = self.text
+        if at >= self.stop:
+            self.stop, self.whole, self.decoded = _TOKEN_END.match(text, at).end(), 0, {}
+            if text.startswith(".eyJ", self.stop):
+                second = _TOKEN_END.match(text, self.stop + 1).end()
+                if second - self.stop >= 12 and text.startswith(".", second):
+                    third = _TOKEN_END.match(text, second + 1)
+                    self.whole = third.end() if third else second + 1
+        if not self.whole or self.stop - at < 11:
+            return 0
+        if at % 4 not in self.decoded:
+            part = text[at : self.stop]
+            try:
+                self.decoded[at % 4] = at, base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)).decode("latin-1")
+            except binascii.Error:
+                self.decoded[at % 4] = at, ""
+        since, head = self.decoded[at % 4]
+        if not head:
+            return 0
+        begin = (at - since) // 4 * 3
+        part = head[begin : begin + 512]
+        try:
+            self.json.raw_decode(part)
+        except json.JSONDecodeError as e:
+            # A fault that more text wouldn't mend, so starts that are none cost little.
+            if e.pos < len(part) - 16 and not e.msg.startswith("Unterminated"):
+                return 0
+        except RecursionError:
+            return 0
+        return self.whole if jwt(text[at : self.whole]) else 0
+
+
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, rule, begin, end, verified, fingerprint) of every secret, places in characters from 0.
 
-    The fingerprint is the SHA-256 of the secret, so that the result doesn't hold it. Null and empty texts give no rows;
-    repeated rows give theirs each; a null id is passed on; other columns are ignored.
+    The fingerprint is the SHA-256 of the secret, so that the result doesn't hold it. Null and empty texts, and an empty
+    table, give no rows; repeated rows give theirs each; a null id is passed on. Texts are read whole, in time linear in
+    their length. Of finds that overlap, those with an embedded check come first, then the earlier, then the longer. Other
+    columns are ignored; a column of ours that is named like the id has underscores before it.
     """
+    ours = {"rule": "string", "begin": "long", "end": "long", "verified": "boolean", "fingerprint": "string"}
 
     def make():
         import hashlib
@@ -200,7 +271,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
         return run
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return per_batch(docs, [id_col, text_col], make, f"`{id_col}` {kind}, rule string, begin long, end long, verified boolean, fingerprint string")
+    return per_batch(docs, [id_col, text_col], make, common.schema_of(id_col, kind, ours))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
