@@ -5,19 +5,21 @@ the toxic dictionary saves are the window's gain. A document's score is the sum
 window threshold, over the root of the number of windows. Both thresholds are calibrated on labelled documents that
 the dictionaries have not seen.
 
-How the dictionaries are trained matters more than anything else here. Trained each on its own class by the library's
-cover algorithm they are mostly the same ordinary phrases, chosen differently, and that difference drowns the few toxic
-words. So both share one ordinary part, at the same distance from the window, and only the toxic dictionary has the
-segments that labelled toxic documents have and ordinary ones lack; the ordinary one has as many neutral bytes there.
+Both dictionaries are trained by zstandard's cover algorithm, each on its own class. Trained on whole texts they are
+mostly the same ordinary phrases, chosen differently, and that difference drowns the few toxic words. So each class is
+trained on what the other lacks: first on the words that no text of the other class has, then, in further rounds, on the
+windows that the dictionaries before told apart. A third dictionary, trained on ordinary text, follows either one, so that
+common text costs the same with both. The round that separates the calibration documents best is kept.
+
 A window is a word between two fixed carriers: the one before makes every window large enough to be compressed at all,
 the one after lets matches reach the window's end (the match finder stops 16 bytes short of it).
 """
 
 from __future__ import annotations
 
-import random
-from collections import Counter
-from collections.abc import Iterator
+import re
+import warnings
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -25,16 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import doc_hash, per_batch
+from .common import doc_hash, per_batch, written
 
 HEAD = b"The quick onyx goblin jumps over 13 lazy dwarves, vexing #"
 TAIL = bytes(range(1, 25))
 #: Longer words are cut into windows of so many bytes, each half over the one before.
 WINDOW_BYTES = 64
-#: The most documents of each class that are read for training and calibration.
-TRAIN_TOXIC, TRAIN_ORDINARY = 3000, 6000
-ORDINARY_BYTES = 100_000
-GRAMS = (5, 6)
+#: The most rows of each class that are read for training and calibration, and the longest texts among them.
+TRAIN_TOXIC, TRAIN_ORDINARY, TRAIN_CHARS = 3000, 6000, 20_000
+#: A class of fewer rows can't be trained on.
+LEAST = 12
+#: Bytes of a class's own dictionary and of the shared one, the cover algorithm's segments and d-mers.
+OWN_BYTES, SHARED_BYTES = 8_000, 64_000
+OWN_SEGMENT, SHARED_SEGMENT, DMER = 10, 32, 6
+ROUNDS = 3
 CACHE = 400_000
 
 
@@ -68,6 +74,16 @@ class Gains:
             d.precompute_compress(compression_params=p)
             self.compressors.append(z.ZstdCompressor(dict_data=d, compression_params=p))
 
+    def of(self, words: Iterable[str]) -> dict[str, int]:
+        """The gain of every word (not over WINDOW_BYTES long), 0 if below the least."""
+        out = {}
+        words = list(words)
+        for i in range(0, len(words), 100_000):
+            part = {w for w in words[i : i + 100_000] if len(w) <= WINDOW_BYTES}
+            self.learn(part)
+            out.update((w, self.known.get(w, 0)) for w in words[i : i + 100_000])
+        return out
+
     def learn(self, words: set[str]) -> None:
         import numpy as np
 
@@ -104,112 +120,114 @@ class Gains:
         return [sum(gains) / n**0.5 if n else 0.0 for gains, n in self._each(texts)]
 
 
-def _grams(word: str) -> set[str]:
-    w = " " + word
-    return {w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)} | ({w} if len(w) < GRAMS[0] else set())
-
-
-def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """The two dictionaries' contents, from texts of the two classes."""
-    least, size = max(3, len(toxic) // 100), [sum(len(t) for t in x) for x in (toxic, ordinary)]
-    counts: list[Counter] = [Counter(), Counter()]
-    for texts, words in zip((toxic, ordinary), counts):
-        for t in texts:
-            words.update(t.lower().split())
-    grams: Counter = Counter()
-    for word, n in counts[0].items():
-        for g in _grams(word):
-            grams[g] += n
-    grams = Counter({g: n for g, n in grams.items() if n >= least})
-    in_ordinary: Counter = Counter()
-    for word, n in counts[1].items():
-        for g in _grams(word):
-            if g in grams:
-                in_ordinary[g] += n
-
-    def tells(g: str, n: int) -> bool:
-        return n >= least and n / size[0] > 20 * (in_ordinary[g] + 1) / size[1]
-
-    # Copies of one document must not make its rare words look telling, so a segment counts once for each word before it.
-    # Only segments that would tell if every occurrence counted are looked at again.
-    maybe = {word: held for word in counts[0] if (held := [g for g in _grams(word) if g in grams and tells(g, grams[g])])}
-    seen: dict[str, set[str]] = {}
-    for t in toxic:
-        before = ""
-        for word in t.lower().split():
-            for g in maybe.get(word, ()):
-                seen.setdefault(g, set()).add(before)
-            before = word
-    telling = {g for g, x in seen.items() if tells(g, len(x))}
-    marked: dict[str, str] = {}
-    for word, held in maybe.items():
-        w = " " + word
-        marks = bytearray(len(w))
-        for g in telling.intersection(held):
-            k = w.find(g)
-            marks[k : k + len(g)] = b"\1" * len(g)
-        if any(marks):
-            marked[word] = w[marks.index(1) : marks.rindex(1) + 1]
-    segments: Counter = Counter()
-    for t in toxic:
-        segments.update(marked[word] for word in set(t.lower().split()) if word in marked)
-    chosen = [s for s, c in sorted(segments.items(), key=lambda x: (-x[1], x[0])) if c >= 3]
-    part = "".join(reversed(chosen)).encode("utf-8", "replace") + b" "
-    rng = random.Random(0)
-    neutral = bytes(rng.randrange(128, 255) for _ in part)
-    pieces = []
-    for t in ordinary[:: max(1, len(ordinary) * 300 // ORDINARY_BYTES)]:
-        k = rng.randrange(max(1, len(t) - 300))
-        pieces.append(t[k : k + 300])
-    shared = " ".join(pieces).lower().encode("utf-8", "replace")[:ORDINARY_BYTES] + HEAD
-    return part + shared, neutral + shared
+#: Repeat offsets with which the header of a trained dictionary ends.
+_HEADER_END = b"".join(n.to_bytes(4, "little") for n in (1, 4, 8))
+
+
+def trained(samples: list[str], size: int, segment: int) -> bytes:
+    """The content, without the header, of a dictionary that zstandard trains; of too few samples, the samples themselves."""
+    import zstandard as z
+
+    data = [x.encode("utf-8", "replace") for x in samples]
+    try:
+        out = z.train_dictionary(size, data, k=segment, d=DMER).as_bytes()
+    except z.ZstdError:
+        return b"".join(data)[:size]
+    return out[out.index(_HEADER_END, 8) + len(_HEADER_END) :]
+
+
+def _samples(texts: list[str], wanted) -> list[str]:
+    """Of every text the words that are wanted, each once, as one sample; texts without any give none."""
+    each = ([w for w in dict.fromkeys(t.split()) if wanted(w)] for t in texts)
+    return [" " + " ".join(ws) + " " for ws in each if ws]
+
+
+def rounds(toxic: list[str], ordinary: list[str]) -> Iterator[tuple[bytes, bytes]]:
+    """The dictionaries (toxic, ordinary) of every round, from texts of the two classes in lower case."""
+    shared = trained([" ".join(w[i : i + 8]) for t in ordinary for w in [t.split()] for i in range(0, len(w), 8)], SHARED_BYTES, SHARED_SEGMENT) + HEAD
+    own = []
+    for texts, others in ((toxic, ordinary), (ordinary, toxic)):
+        known = {w for t in others for w in re.findall(r"\w+", t)}
+        own.append(trained(_samples([" ".join(re.findall(r"\w+", t)) for t in texts], lambda w: w not in known), OWN_BYTES, OWN_SEGMENT))
+    for _ in range(ROUNDS - 1):
+        yield own[0] + shared, own[1] + shared
+        g = Gains(own[0] + shared, own[1] + shared, 2)
+        for k, texts in enumerate((toxic, ordinary)):
+            told = {w for t in texts for w in t.split()}
+            gain = g.of(told)
+            samples = _samples(texts, lambda w: gain[w] > 0)
+            # Too little to train on: the class has no such windows left, and keeps its dictionary.
+            if sum(map(len, samples)) > OWN_BYTES // 2:
+                own[k] = trained(samples, OWN_BYTES, OWN_SEGMENT)
+    yield own[0] + shared, own[1] + shared
 
 
 def fit(toxic: list[str], ordinary: list[str]) -> Model | None:
-    """Dictionaries from two thirds of each class, thresholds from the rest. None if a class has under 12 texts."""
-    if min(len(toxic), len(ordinary)) < 12:
+    """Dictionaries from two thirds of each class, the round and thresholds from the rest. None, with a warning, if a class has under LEAST texts."""
+    if min(len(toxic), len(ordinary)) < LEAST:
+        warnings.warn(f"{len(toxic)} toxic and {len(ordinary)} ordinary labelled texts are too few: there is no model, and nothing will be toxic", stacklevel=2)
         return None
-    learn = [[t for i, t in enumerate(x) if i % 3] for x in (toxic, ordinary)]
+    learn = [[t.lower() for i, t in enumerate(x) if i % 3] for x in (toxic, ordinary)]
     held = [[t for i, t in enumerate(x) if i % 3 == 0] for x in (toxic, ordinary)]
-    d = dictionaries(*learn)
-    best: tuple[float, int, float] | None = None
-    # Compressed once; each threshold only leaves out the lesser gains.
-    g = Gains(*d, 1)
-    found = [g.found(x) for x in held]
-    for gain in (1, 2, 3, 4):
-        yes, no = (sorted(sum(x for x in gains if x >= gain) / n**0.5 if n else 0.0 for gains, n in part) for part in found)
-        for cut in {x for x in yes if x > 0}:
-            caught, wrong = sum(x >= cut for x in yes) / len(yes), sum(x >= cut for x in no) / len(no)
-            value = caught - 20 * wrong
-            if best is None or value > best[0] + 1e-9 or (abs(value - best[0]) < 1e-9 and cut < best[2]):
-                # Half-way down to the next clean document.
-                below = max((x for x in no if x < cut), default=0.0)
-                best = (value, gain, (cut + below) / 2 if below > 0 else cut * 0.75)
-    return Model(*d, best[1], best[2]) if best else None
-
-
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = TRAIN_TOXIC, max_ordinary: int = TRAIN_ORDINARY) -> Model | None:
-    """A model from labelled documents: of each class at most ``max_toxic`` or ``max_ordinary``, by the hash of the id.
-
-    Null ids, texts and labels are passed over. Rows of one id are texts each; an id of two labels is toxic.
-    None if a class has too few texts, as in empty tables. Other columns, whatever their names, are ignored.
+    best: tuple[float, Model] | None = None
+    for d in rounds(*learn):
+        # Compressed once; each threshold only leaves out the lesser gains.
+        g = Gains(*d, 1)
+        found = [g.found(x) for x in held]
+        for gain in (1, 2, 3, 4):
+            yes, no = (sorted(sum(x for x in gains if x >= gain) / n**0.5 if n else 0.0 for gains, n in part) for part in found)
+            for cut in sorted({x for x in yes if x > 0}):
+                caught, wrong = sum(x >= cut for x in yes) / len(yes), sum(x >= cut for x in no) / len(no)
+                value = caught - 20 * wrong
+                if best is None or value > best[0] + 1e-9:
+                    # A little below it, towards the next clean document.
+                    below = max((x for x in no if x < cut), default=0.0)
+                    best = value, Model(*d, gain, cut - (cut - below) / 10)
+    return best[1] if best else None
+
+
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    max_toxic: int = TRAIN_TOXIC,
+    max_ordinary: int = TRAIN_ORDINARY,
+    max_chars: int = TRAIN_CHARS,
+) -> Model | None:
+    """A model from labelled documents: of each class at most ``max_toxic`` or ``max_ordinary`` rows, by the hash of the id.
+
+    Null ids, texts and labels, and texts of more than ``max_chars`` characters, are passed over (all are scored, whole).
+    Rows of one id are texts each; an id of two labels is toxic. Ties of the hash go by id, then text. None, with a
+    warning, if a class has under LEAST rows, as in empty tables. Other columns, whatever their names, are ignored.
     """
     sample = None
-    for label, most in ((1, max_toxic), (0, max_ordinary)):
-        part = labels.filter((F.col(label_col) == label) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.lit(label).alias("_label")).orderBy(doc_hash(F.col("_id"), "toxicity"), "_id").limit(most)
+    most = {1: max_toxic, 0: max_ordinary}
+    for label, n in most.items():
+        part = labels.filter((F.col(label_col) == label) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.lit(label).alias("_label")).orderBy(doc_hash(F.col("_id"), "toxicity"), "_id").limit(n)
         sample = part if sample is None else sample.unionByName(part)
     # The sample is bounded, so it may always be broadcast.
-    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
-    rows = texts.join(F.broadcast(sample.groupBy("_id").agg(F.max("_label").alias("_label"))), F.col("_doc") == F.col("_id")).select("_id", "_label", "_text").toLocalIterator()
-    held = sorted((r["_id"], r["_label"], r["_text"]) for r in rows)
-    return fit([t for _, y, t in held if y == 1], [t for _, y, t in held if y == 0])
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).filter(F.length("_text") <= max_chars)
+    rows = written(texts.join(F.broadcast(sample.groupBy("_id").agg(F.max("_label").alias("_label"))), F.col("_doc") == F.col("_id")).select("_id", "_label", "_text"))
+    # An id may have any number of rows, so they are bounded too.
+    held = [[r["_text"] for r in rows.filter(F.col("_label") == label).orderBy(doc_hash(F.col("_id"), "toxicity"), "_id", "_text").limit(n).select("_text").collect()] for label, n in most.items()]
+    return fit(*held)
 
 
 def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, toxicity, is_toxic) of every row; without a model all score 0 and none is toxic. Null text scores 0."""
+    """(id, toxicity, is_toxic) of every row; without a model all score 0 and none is toxic.
+
+    Null and empty texts score 0. Texts are read whole, however long. Equal texts, and so repeated rows, score alike; a
+    score at the threshold is toxic. An empty table gives an empty one. Other columns are ignored; a column of ours that
+    is named like the id has underscores before it.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
+    ours = {"toxicity": "double", "is_toxic": "boolean"}
     if model is None:
-        return docs.select(F.col(id_col), F.lit(0.0).alias("toxicity"), F.lit(False).alias("is_toxic"))
+        toxicity, is_toxic = (common.fresh([id_col], n) for n in ours)
+        return docs.select(F.col(id_col), F.lit(0.0).alias(toxicity), F.lit(False).alias(is_toxic))
 
     def make():
         g = Gains(model.toxic, model.ordinary, model.window_gain)
@@ -220,11 +238,15 @@ def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_
 
         return run
 
-    return per_batch(docs, [id_col, text_col], make, f"`{id_col}` {kind}, toxicity double, is_toxic boolean")
+    return per_batch(docs, [id_col, text_col], make, common.schema_of(id_col, kind, ours))
 
 
 def drop_toxic(docs: DataFrame, model: Model | None, *, text_col: str = "text") -> DataFrame:
-    """The rows that are not toxic, with all their columns. Rows of null or empty text stay; repeated rows fare alike."""
+    """The rows that are not toxic, with all their columns, whatever their names. Without a model all stay.
+
+    Rows of null or empty text stay; repeated rows, and all rows of one text, fare alike; a score at the threshold is
+    toxic. Texts are read whole, however long. An empty table gives an empty one.
+    """
     if model is None:
         return docs
 

@@ -12,8 +12,8 @@ SMALL = "/root/testdata/sf0.01"
 def test_pipeline(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
-    known = sorted((i, labels[i], t) for i, t, *_ in docs if i in labels and t is not None)
-    m = toxicity.fit([t for _, y, t in known if y == 1], [t for _, y, t in known if y == 0])
+    known = sorted((brute.h60(f"{i}toxicity"), i, labels[i], t) for i, t, *_ in docs if i in labels and t is not None and len(t) <= 20_000)
+    m = toxicity.fit(*([t for _, _, y, t in known if y == label][:most] for label, most in ((1, 3000), (0, 6000))))
     if m is not None:
         g = toxicity.Gains(m.toxic, m.ordinary, m.window_gain)
         docs = [d for d in docs if g.scores([d[1]])[0] < m.threshold]

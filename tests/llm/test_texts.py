@@ -11,6 +11,7 @@ from collections import Counter
 import pytest
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import brute
 from sparkloom.llm import audio, chat, pii, search, secrets, toxicity
@@ -51,6 +52,43 @@ def test_held_out_accuracy(model):
     assert sum(caught) / len(caught) > 0.95 and sum(wrong) / len(wrong) < 0.01
 
 
+def slow_score(model, text):
+    """Every window compressed by itself, told without the operator's class."""
+    import zstandard as z
+
+    p = z.ZstdCompressionParameters(window_log=18, chain_log=17, hash_log=17, search_log=6, min_match=4, target_length=32, strategy=z.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0, format=z.FORMAT_ZSTD1_MAGICLESS)
+    toxic, ordinary = (z.ZstdCompressor(dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=p) for d in (model.toxic, model.ordinary))
+    total, n = 0, 0
+    for word in text.lower().split():
+        for w in [word] if len(word) <= 64 else [word[i : i + 64] for i in range(0, len(word) - 32, 32)]:
+            data = b"The quick onyx goblin jumps over 13 lazy dwarves, vexing # " + w.encode() + b" " + bytes(range(1, 25))
+            gain = len(ordinary.compress(data)) - len(toxic.compress(data))
+            total, n = total + (gain if gain >= model.window_gain else 0), n + 1
+    return total / n**0.5 if n else 0.0
+
+
+def test_scores_by_brute_force(model):
+    texts = [t for _, t, _ in labelled(12, seed=4)] + ["", "a", "Vilefool " * 30, "x" * 500 + "grubscum" * 40]
+    got = toxicity.Gains(model.toxic, model.ordinary, model.window_gain).scores(texts)
+    assert got == [slow_score(model, t) for t in texts] and got[0] > 0
+
+
+def test_dictionaries_are_trained_on_each_class(model):
+    """Each class's own dictionary has what it alone has; both end with the same ordinary part."""
+    data = labelled(300)
+    toxic, ordinary = ([t for _, t, y in data if y == label] for label in (1, 0))
+    for a, b in toxicity.rounds(toxic, ordinary):
+        assert b"vilefool" in a and b"vilefool" not in b and a[-500:] == b[-500:]
+    assert toxicity.trained([], 1000, 16) == b"" and toxicity.trained(["ab"], 1000, 16) == b"ab"
+
+
+def test_score_takes_ids_of_our_names(spark, model):
+    df = spark.createDataFrame([("a", "vilefool " * 20), (None, None)], "toxicity string, text string")
+    assert toxicity.score(df, model, id_col="toxicity").columns == ["toxicity", "_toxicity", "is_toxic"]
+    assert {tuple(r) for r in toxicity.score(df, None, id_col="toxicity").collect()} == {("a", 0.0, False), (None, 0.0, False)}
+    assert toxicity.score(df, model, id_col="toxicity").filter("is_toxic").select("toxicity").collect() == [("a",)]
+
+
 def test_scores_of_a_table_are_those_of_each_text(model, docs, rows):
     g = toxicity.Gains(model.toxic, model.ordinary, model.window_gain)
     want = Counter((i, g.scores([t])[0]) for i, t, *_ in rows)
@@ -65,14 +103,20 @@ def test_training_from_tables(spark, docs):
     texts = spark.createDataFrame([(k, t, 1, "x") for k, t, _ in data] + [(None, "a", 1, "x"), (5, None, 1, "x")], "doc_id long, text string, _id int, _label string")
     labels = spark.createDataFrame([(k, y, "z") for k, _, y in data] + [(None, 1, "z"), (5, 1, "z"), (7, None, "z"), (data[0][0], 1, "z")], "doc_id long, toxic int, _id string")
     m = toxicity.train(texts, labels)
-    by_hand = sorted((k, y, t) for k, t, y in data)
+    by_hand = sorted((brute.h60(f"{k}toxicity"), y, t) for k, t, y in data)
     assert m == toxicity.fit([t for _, y, t in by_hand if y], [t for _, y, t in by_hand if not y])
-    small = toxicity.train(texts, labels, max_toxic=20, max_ordinary=30)
-    assert small is None or small != m
+    # Rows are bounded, not ids alone, and so is their length.
+    again = texts.unionByName(texts.withColumn("text", F.concat("text", F.lit(" again"))))
+    twice = sorted((brute.h60(f"{k}toxicity"), t + more, y) for k, t, y in data for more in ("", " again"))
+    want = [[t for _, t, y in twice if y == label][:n] for label, n in ((1, 20), (0, 30))]
+    assert toxicity.train(again, labels, max_toxic=20, max_ordinary=30) == toxicity.fit(*want)
+    with pytest.warns(UserWarning, match="too few"):
+        assert toxicity.train(texts, labels, max_chars=5) is None
 
 
 def test_without_a_model(docs, empty):
-    assert toxicity.train(empty, empty.selectExpr("doc_id", "1 as toxic")) is None
+    with pytest.warns(UserWarning, match="too few"):
+        assert toxicity.train(empty, empty.selectExpr("doc_id", "1 as toxic")) is None
     assert toxicity.drop_toxic(docs, None).count() == docs.count()
     assert {tuple(r)[1:] for r in toxicity.score(docs, None).collect()} == {(0.0, False)}
 
