@@ -2,8 +2,11 @@
 
 Lines are hashed, a rolling hash runs over the last lines' hashes, and a chunk ends where its low bits are nought: so
 the same run of lines is cut at the same places whatever stands before it. A long line is a chunk of its own for the same
-reason. Chunks of several lines, and long lines, that occur again anywhere are compared byte for byte; the first
-occurrence (lowest id, then lowest place) stays and the others are taken out.
+reason. Besides the chunks, the least runs of 50 words from and up to every line are pieces, so that a repeated passage goes
+whole, wherever the chunks are cut. Pieces that occur again anywhere are joined to runs, which are compared byte for byte;
+the first occurrence (lowest id, then lowest place) stays and the others are taken out.
+
+Only hashes are shuffled to find the repeats; texts are shuffled once, to meet their runs.
 """
 
 from __future__ import annotations
@@ -19,17 +22,12 @@ from .common import fresh, per_batch, written
 ROLL, MASK, MIN_LINES = 2, 1, 2
 #: A line of so many words is a chunk of its own.
 LONG_LINE_WORDS = 50
+#: A hash that holds one in so many pieces, or more, is hot.
+HOT = 1000
 PRIME = 0x9E3779B97F4A7C15
 FULL = (1 << 64) - 1
 
 
-def xxh(text: str) -> int:
-    """A signed hash of 64 bits."""
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
 def chunks(text: str) -> list[tuple[int, int, bool]]:
     """(first line, line after the last, whether it may be removed) of every chunk of ``text.split('\\n')``."""
     import xxhash
@@ -82,170 +80,115 @@ def pieces(text: str) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _chunk_bytes(text: str, spans: list[tuple[int, int, bool]]) -> list[bytes]:
-    lines = text.split("\n")
-    return ["\n".join(lines[a:b]).encode("utf-8", "surrogatepass") for a, b, _ in spans]
-
-
 def occurrences(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, no, hash) of every chunk that may be removed; key is a hash of the whole text. Chunks of blanks are passed over."""
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def make():
-        import xxhash
-
-        def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            row, key, no, hashed = [], [], [], []
-            for r, t in enumerate(b.column(1).to_pylist()):
-                if not t:
-                    continue
-                spans = chunks(t)
-                k = None
-                for i, ((_, _, may), c) in enumerate(zip(spans, _chunk_bytes(t, spans))):
-                    if may and c.strip():
-                        k = xxh(t) if k is None else k
-                        row.append(r)
-                        key.append(k)
-                        no.append(i)
-                        hashed.append(xxhash.xxh3_128_digest(c))
-            return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(key, pa.int64()), pa.array(no, pa.int32()), pa.array(hashed, pa.binary())], names=["id", "key", "no", "hash"])
-
-        return run
-
-    return per_batch(docs, [id_col, text_col], make, f"`id` {kind}, key long, no int, hash binary")
-
-
-def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, nos): the chunks to take out of each document, by place. Rows of one id and one text are one document."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    all_of = written(occurrences(docs, id_col=id_col, text_col=text_col)).dropDuplicates(["id", "key", "no"])
-    often = all_of.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
-    wanted = all_of.join(often, "hash").groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(F.sort_array(F.collect_list("no")).alias("_nos"))
-    hashed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # The JVM can't make the key, so the join is by id; texts of one id that differ are told apart in the worker.
-    texts = hashed.join(wanted, F.col("id").eqNullSafe(F.col("_id"))).select("id", "text", "_key", "_nos")
-
-    def make():
-        def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            row, no, body = [], [], []
-            keys, nos = b.column(2).to_pylist(), b.column(3).to_pylist()
-            for r, t in enumerate(b.column(1).to_pylist()):
-                if t and xxh(t) == keys[r]:
-                    each = _chunk_bytes(t, chunks(t))
-                    for i in nos[r]:
-                        row.append(r)
-                        no.append(i)
-                        body.append(each[i])
-            at = pa.array(row, pa.int64())
-            return pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array(no, pa.int32()), pa.array(body, pa.binary())], names=["id", "key", "no", "body"])
-
-        return run
-
-    bodies = per_batch(texts, ["id", "text", "_key", "_nos"], make, f"`id` {kind}, key long, no int, body binary")
-    # Grouping by the bytes themselves is the comparison; the hash only chose what to compare.
-    same = written(bodies.dropDuplicates(["id", "key", "no"]).withColumn("h", F.xxhash64("body")))
-    first = same.groupBy("h", "body").agg(F.min(F.struct("id", "key", "no")).alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("h").alias("h2"), F.col("body").alias("b2"), "first")
-    later = same.join(first, (F.col("h") == F.col("h2")) & (F.col("body") == F.col("b2"))).filter(~F.struct("id", "key", "no").eqNullSafe(F.col("first")))
-    return later.groupBy("id", "key").agg(F.sort_array(F.collect_list("no")).alias("nos"))
-
-
-def passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, spans): the runs of lines (first, after the last) to take out of each document, by its pieces that stand earlier."""
+    """(id, key, a, z, hash) of every piece; key is a hash of the whole text. Pieces of blanks are passed over."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
         import xxhash
 
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            row, key, first, end, hashed = [], [], [], [], []
+            row, first, end, hashed = [], [], [], []
             for r, t in enumerate(b.column(1).to_pylist()):
                 if not t:
                     continue
-                k, lines = xxh(t), [x.encode("utf-8", "surrogatepass") for x in t.split("\n")]
+                lines = [x.encode("utf-8", "surrogatepass") for x in t.split("\n")]
                 for a, z in pieces(t):
                     c = b"\n".join(lines[a:z])
-                    if not c.isspace() and c:
+                    if c and not c.isspace():
                         row.append(r)
-                        key.append(k)
                         first.append(a)
                         end.append(z)
                         hashed.append(xxhash.xxh3_64_intdigest(c) - (1 << 63))
-            return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(key, pa.int64()), pa.array(first, pa.int32()), pa.array(end, pa.int32()), pa.array(hashed, pa.int64())], names=["id", "key", "a", "z", "hash"])
+            at = pa.array(row, pa.int64())
+            return pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array(first, pa.int32()), pa.array(end, pa.int32()), pa.array(hashed, pa.int64())], names=["id", "key", "a", "z", "hash"])
 
         return run
 
-    place = F.struct("id", "key", "a")
-    found = per_batch(docs, [id_col, text_col], make, f"`id` {kind}, key long, a int, z int, hash long").withColumn("o", F.min(place).over(Window.partitionBy("hash")))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
+    return per_batch(texts, ["id", "text", "key"], make, f"`id` {kind}, key long, a int, z int, hash long")
+
+
+def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", same: DataFrame | None = None) -> DataFrame:
+    """(id, key, a, z, late): runs of lines that by their pieces' hashes stand earlier (late), and the earlier runs they are taken for."""
+    found = occurrences(docs, id_col=id_col, text_col=text_col).withColumn("grp", F.lit(None).cast("long"))
+    if same is not None:
+        found = found.drop("grp").join(same.select(F.col("id").alias("_id"), F.col("grp")), F.col("id") == F.col("_id"), "left").drop("_id")
+    found = written(found)
+    first = written(found.groupBy("hash").agg(F.min(F.struct("id", "key", "a", "grp")).alias("o"), F.min(F.struct("id", "key", "a", F.lit(0))).alias("lo"), F.max(F.struct("id", "key", "a", F.lit(0))).alias("hi"), F.count("*").alias("n")).filter("lo <> hi").drop("lo", "hi"))
+    total = found.count()
+    # Pieces of which a hash holds a thousandth or more: a thousand rows at most, so they may be broadcast, and the join by hash has no hot key.
+    hot = F.broadcast(first.filter(F.col("n") * HOT >= total).drop("n"))
+    cold = first.filter(F.col("n") * HOT < total).drop("n")
+    both = found.join(hot, "hash").unionByName(found.join(hot.select("hash"), "hash", "left_anti").join(cold, "hash"))
+    own, its = (F.struct(*(F.col(p + c).alias(c) for c in ("id", "key"))) for p in ("", "o."))
+    another = ~own.eqNullSafe(its)
+    later = both.filter((another & ~F.coalesce(F.col("grp") == F.col("o.grp"), F.lit(False))) | (~another & (F.col("a") > F.col("o.a"))))
+    later = later.select("id", "key", "a", "z", F.col("o.id").alias("oid"), F.col("o.key").alias("okey"), (F.col("a") - F.col("o.a")).alias("shift"))
     # Pieces that lie at one distance from their first places are joined where they touch.
     same_shift = Window.partitionBy("id", "key", "oid", "okey", "shift").orderBy("a", "z")
-    later = found.filter(~place.eqNullSafe(F.col("o"))).select("id", "key", "a", "z", F.col("o.id").alias("oid"), F.col("o.key").alias("okey"), (F.col("a") - F.col("o.a")).alias("shift"))
     reach = F.max("z").over(same_shift.rowsBetween(Window.unboundedPreceding, -1))
     islands = later.withColumn("new", F.when(F.col("a") <= reach, 0).otherwise(1)).withColumn("part", F.sum("new").over(same_shift.rowsBetween(Window.unboundedPreceding, 0)))
     runs = written(islands.groupBy("id", "key", "oid", "okey", "shift", "part").agg(F.min("a").alias("a"), F.max("z").alias("z")))
-    both = runs.select("id", "key", "a", "z").unionByName(runs.select(F.col("oid").alias("id"), F.col("okey").alias("key"), (F.col("a") - F.col("shift")).alias("a"), (F.col("z") - F.col("shift")).alias("z")))
-    wanted = both.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_set(F.struct("a", "z")).alias("_spans"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("_id"))).select("id", "text", "_key", "_spans")
+    late = runs.select("id", "key", "a", "z", F.lit(True).alias("late"))
+    early = runs.select(F.col("oid").alias("id"), F.col("okey").alias("key"), (F.col("a") - F.col("shift")).alias("a"), (F.col("z") - F.col("shift")).alias("z"), F.lit(False).alias("late"))
+    return late.unionByName(early)
 
-    def make_bodies():
-        def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            row, first, end, body = [], [], [], []
-            keys, spans = b.column(2).to_pylist(), b.column(3).to_pylist()
-            for r, t in enumerate(b.column(1).to_pylist()):
-                if t and xxh(t) == keys[r]:
-                    lines = t.split("\n")
-                    for s in spans[r]:
-                        row.append(r)
-                        first.append(s["a"])
-                        end.append(s["z"])
-                        body.append("\n".join(lines[s["a"] : s["z"]]).encode("utf-8", "surrogatepass"))
-            at = pa.array(row, pa.int64())
-            return pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array(first, pa.int32()), pa.array(end, pa.int32()), pa.array(body, pa.binary())], names=["id", "key", "a", "z", "body"])
 
-        return run
+def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars", same: DataFrame | None = None) -> DataFrame:
+    """``docs`` without the pieces (chunks, and runs of LONG_LINE_WORDS words or more) that stand earlier; documents of which nothing but blanks is left are dropped.
 
-    bodies = per_batch(texts, ["id", "text", "_key", "_spans"], make_bodies, f"`id` {kind}, key long, a int, z int, body binary")
-    # As in repeats: grouping by the bytes is the comparison.
-    same = written(bodies.withColumn("h", F.xxhash64("body")))
-    first = same.groupBy("h", "body").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).select(F.col("h").alias("h2"), F.col("body").alias("b2"), "first")
-    gone = same.join(first.hint("merge"), (F.col("h") == F.col("h2")) & (F.col("body") == F.col("b2"))).filter(~place.eqNullSafe(F.col("first")))
-    return gone.groupBy("id", "key").agg(F.collect_set(F.struct("a", "z")).alias("spans"))
+    The first occurrence of a piece stays: that of the lowest id (null is lowest), then text's hash, then place, also
+    within one document. Pieces are compared byte for byte; of every line that goes an earlier copy stays. ``same`` (id,
+    grp) names documents that are versions of one: a piece that first stands in a version isn't taken out of the others.
+    Without it, every document is by itself.
 
-
-def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
-    """``docs`` without repeated chunks; documents of which nothing but blanks is left are dropped.
-
-    The first occurrence of a chunk stays: that of the lowest id (null is lowest), then text, then place, also within one
-    document. Null and empty texts stay as they are. Rows of one id and one text are one document, so both stay whole or
-    are cut alike. If the table has ``count_col``, it is the number of characters of a text that was cut. Other columns
-    pass through. Short single lines are never removed, however often they occur.
+    Null and empty texts stay as they are; texts of any length are read whole. Rows of one id and one text are one
+    document, so they fare alike, and rows of one id (or null) with different texts are documents each. If the table has
+    ``count_col``, it is the number of characters of a text that was cut. Other columns pass through, whatever their
+    names. Short single lines are never removed, however often they occur. An empty table gives an empty one.
     """
+    key, spans = (fresh(docs.columns, x) for x in ("_line_key", "_line_spans"))
+    of_id, of_key = (fresh([*docs.columns, key, spans], x) for x in ("_line_of", "_line_of_key"))
+    runs = repeats(docs, id_col=id_col, text_col=text_col, same=same)
+    wanted = runs.groupBy(F.col("id").alias(of_id), F.col("key").alias(of_key)).agg(F.collect_set(F.struct("a", "z", "late")).alias(spans))
+    # The only shuffle of texts. Rows a document aren't broadcast, however few they are.
+    held = docs.withColumn(key, F.xxhash64(text_col)).join(wanted.hint("merge"), F.col(id_col).eqNullSafe(F.col(of_id)) & (F.col(key) == F.col(of_key)), "left").drop(of_id, of_key)
+    held = written(held)
+    kind = docs.schema[id_col].dataType.simpleString()
 
-    def left_of(text: str, nos) -> str:
-        gone, lines = set(nos), text.split("\n")
-        return "\n".join(line for i, (a, z, _) in enumerate(chunks(text)) if i not in gone for line in lines[a:z])
-
-    return _cut(docs, repeats(docs, id_col=id_col, text_col=text_col).withColumnRenamed("nos", "what"), left_of, id_col, text_col, count_col)
-
-
-def drop_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
-    """As ``drop_repeats``, but every run of lines of LONG_LINE_WORDS words or more that stands earlier goes whole, wherever the chunks are cut.
-
-    Of every line that goes, an earlier copy stays. Runs of fewer words go only as whole chunks.
-    """
-
-    def left_of(text: str, spans) -> str:
-        gone = {i for s in spans for i in range(s["a"], s["z"])}
-        return "\n".join(line for i, line in enumerate(text.split("\n")) if i not in gone)
-
-    return _cut(docs, passages(docs, id_col=id_col, text_col=text_col).withColumnRenamed("spans", "what"), left_of, id_col, text_col, count_col)
+    def make():
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            row, first, end, late, body = [], [], [], [], []
+            each = b.column(3).to_pylist()
+            for r, t in enumerate(b.column(1).to_pylist()):
+                lines = t.split("\n")
+                for s in each[r]:
+                    row.append(r)
+                    first.append(s["a"])
+                    end.append(s["z"])
+                    late.append(s["late"])
+                    body.append("\n".join(lines[s["a"] : s["z"]]).encode("utf-8", "surrogatepass"))
+            at = pa.array(row, pa.int64())
+            return pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array(first, pa.int32()), pa.array(end, pa.int32()), pa.array(late, pa.bool_()), pa.array(body, pa.binary())], names=["id", "key", "a", "z", "late", "body"])
 
+        return run
 
-def _cut(docs: DataFrame, what: DataFrame, left_of, id_col: str, text_col: str, count_col: str | None) -> DataFrame:
-    """``docs`` with ``left_of(text, what)`` for the texts of ``what`` (id, key, what)."""
-    gone_id, gone = (fresh(docs.columns, x) for x in ("_gone_id", "_gone"))
-    cut = what.groupBy("id").agg(F.collect_list(F.struct("key", "what")).alias(gone)).withColumnRenamed("id", gone_id)
-    # Rows a document aren't broadcast, however few they are.
-    joined = docs.join(cut.hint("merge"), F.col(id_col).eqNullSafe(F.col(gone_id)), "left").drop(gone_id)
+    texts = held.filter(F.col(spans).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(key).alias("key"), F.col(spans).alias("spans"))
+    bodies = per_batch(texts, ["id", "text", "key", "spans"], make, f"`id` {kind}, key long, a int, z int, late boolean, body binary")
+    # Grouping by the bytes themselves is the comparison. A late run that is the first of its bytes had an equal hash but
+    # no equal: it stays. That is as rare as two hashes of 64 bits that collide.
+    alone = written(bodies.groupBy(F.xxhash64("body").alias("h"), "body").agg(F.min(F.struct("id", "key", "a", "z", F.expr("not late").alias("early"))).alias("first")).filter("not first.early").select("first.id", "first.key", "first.a", "first.z"))
+    if not alone.isEmpty():
+        stay = fresh([*docs.columns, key, spans], "_line_stay")
+        alone = alone.groupBy(F.col("id").alias(of_id), F.col("key").alias(of_key)).agg(F.collect_set(F.struct("a", "z", F.lit(True).alias("late"))).alias(stay))
+        held = held.join(alone, F.col(id_col).eqNullSafe(F.col(of_id)) & (F.col(key) == F.col(of_key)), "left")
+        held = held.withColumn(spans, F.array_except(spans, F.coalesce(stay, F.array().cast("array<struct<a:int,z:int,late:boolean>>")))).drop(of_id, of_key, stay)
+    return _cut(held.drop(key), docs, spans, text_col, count_col)
+
+
+def _cut(held: DataFrame, docs: DataFrame, spans: str, text_col: str, count_col: str | None) -> DataFrame:
+    """``held``, the rows of ``docs`` and the spans of each, less the late ones' lines."""
     at, last = docs.columns.index(text_col), len(docs.columns)
     n_at = docs.columns.index(count_col) if count_col in docs.columns else None
 
@@ -253,17 +196,11 @@ def _cut(docs: DataFrame, what: DataFrame, left_of, id_col: str, text_col: str,
         for b in batches:
             texts, drops = b.column(at).to_pylist(), b.column(last).to_pylist()
             keep, changed = [True] * b.num_rows, {}
-            for r, by_key in enumerate(drops):
-                t = texts[r]
-                if not by_key or not t:
-                    continue
-                k = xxh(t)
-                of = next((x["what"] for x in by_key if x["key"] == k), None)
-                if not of:
-                    continue
-                left = left_of(t, of)
-                changed[r] = left
-                keep[r] = bool(left.strip())
+            for r, each in enumerate(drops):
+                gone = {i for s in each or () if s["late"] for i in range(s["a"], s["z"])}
+                if gone:
+                    changed[r] = "\n".join(line for i, line in enumerate(texts[r].split("\n")) if i not in gone)
+                    keep[r] = bool(changed[r].strip())
             cols = [b.column(i) for i in range(last)]
             if changed:
                 cols[at] = pa.array([changed.get(r, t) for r, t in enumerate(texts)], b.schema.field(at).type)
@@ -273,9 +210,9 @@ def _cut(docs: DataFrame, what: DataFrame, left_of, id_col: str, text_col: str,
             out = pa.RecordBatch.from_arrays(cols, schema=pa.schema([b.schema.field(i) for i in range(last)]))
             yield out.filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(run, docs.schema)
+    return held.select(*(F.col(f"`{c}`") for c in [*docs.columns, spans])).mapInArrow(run, docs.schema)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
     """Every document that is left, with its text less the repeated passages."""
-    return drop_passages(common.table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars")
+    return drop_repeats(common.table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars")

@@ -85,31 +85,31 @@ def mix(docs, weights=None, fractions=(1.0,)):
     return sorted(out)
 
 
-def drop_repeats(docs):
-    """docs: (id, text, ...); the texts that are left by row, None for a row that goes."""
-    first, seen = {}, set()
-    key = lambda i, t: (i is not None, i if i is not None else 0, lines.xxh(t))
-    for i, t in sorted({(i, t) for i, t in docs if t}, key=lambda x: key(*x)):
-        ls = t.split("\n")
-        for no, (a, z, may) in enumerate(lines.chunks(t)):
+def text_key(t):
+    """Spark's xxhash64 of a string."""
+    import xxhash
+
+    k = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), seed=42)
+    return k - (1 << 64) if k >> 63 else k
+
+
+def drop_repeats(docs, same=None):
+    """docs: (id, text, ...); the texts that are left by row, None for a row that goes. same: group by id."""
+    first, gone = {}, defaultdict(set)
+    for i, t in sorted({(i, t) for i, t in docs if t}, key=lambda x: (x[0] is not None, x[0] if x[0] is not None else 0, text_key(x[1]))):
+        ls, g = t.split("\n"), (same or {}).get(i)
+        for a, z in lines.pieces(t):
             c = "\n".join(ls[a:z])
-            if may and c.strip():
-                if c in first:
-                    seen.add((i, t, no))
-                else:
-                    first[c] = (i, t, no)
+            if not c.strip():
+                continue
+            if c not in first:
+                first[c] = (i, t, g)
+            elif first[c][:2] == (i, t) or g is None or g != first[c][2]:
+                gone[i, t].update(range(a, z))
     out = []
     for i, t in docs:
-        if not t:
-            out.append(t)
-            continue
-        ls = t.split("\n")
-        drops = [no for no, _ in enumerate(lines.chunks(t)) if (i, t, no) in seen]
-        if not drops:
-            out.append(t)
-            continue
-        left = "\n".join(x for no, (a, z, _) in enumerate(lines.chunks(t)) if no not in drops for x in ls[a:z])
-        out.append(left if left.strip() else None)
+        left = "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i, t]) if t else t
+        out.append(left if not t or left.strip() or not gone[i, t] else None)
     return out
 
 

@@ -17,7 +17,7 @@ def test_pipeline(spark):
     if m is not None:
         g = toxicity.Gains(m.toxic, m.ordinary, m.window_gain)
         docs = [d for d in docs if g.scores([d[1]])[0] < m.threshold]
-    left = brute.drop_repeats([(d[0], d[1]) for d in docs])
+    left = brute.drop_repeats([(d[0], d[1]) for d in docs], brute.near_groups([(d[0], d[1]) for d in docs]))
     docs = [(d[0], t, *d[2:]) for d, t in zip(docs, left) if t is not None or d[1] is None]
     gone = {i for i, k in brute.near_groups([(d[0], d[1]) for d in docs]).items() if i != k}
     docs = [d for d in docs if d[0] not in gone]
