@@ -94,6 +94,21 @@ def fresh(taken: Iterable[str], name: str) -> str:
     return name
 
 
+#: A key that one in so many rows has, or more, is hot.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, by_key: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined to ``by_key``, which has a row for each key and in ``n`` how many of the ``total`` rows have it.
+
+    Keys that a thousandth of the rows or more have are a thousand at most, so they are broadcast; of the others no key
+    is large enough to burden a task. Both tables are read twice, so they should be written ones. ``n`` isn't returned.
+    """
+    hot = F.broadcast(by_key.filter(F.col("n") * HOT >= total).drop("n"))
+    cold = by_key.filter(F.col("n") * HOT < total).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def schema_of(id_col: str, id_kind: str, ours: Mapping[str, str]) -> str:
     """The schema of an id column and of ``ours`` (name: type), which have underscores before them where they are named like the id."""
     return f"`{id_col}` {id_kind}, " + ", ".join(f"`{fresh([id_col], n)}` {k}" for n, k in ours.items())

@@ -16,14 +16,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .common import fresh, per_batch, written
+from .common import fresh, join_hot, per_batch, written
 
 #: Lines that the rolling hash covers, low bits that must be nought at a chunk's end, fewest lines of a cut.
 ROLL, MASK, MIN_LINES = 2, 1, 2
 #: A line of so many words is a chunk of its own.
 LONG_LINE_WORDS = 50
-#: A hash that holds one in so many pieces, or more, is hot.
-HOT = 1000
 PRIME = 0x9E3779B97F4A7C15
 FULL = (1 << 64) - 1
 
@@ -116,11 +114,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         found = found.drop("grp").join(same.select(F.col("id").alias("_id"), F.col("grp")), F.col("id") == F.col("_id"), "left").drop("_id")
     found = written(found)
     first = written(found.groupBy("hash").agg(F.min(F.struct("id", "key", "a", "grp")).alias("o"), F.min(F.struct("id", "key", "a", F.lit(0))).alias("lo"), F.max(F.struct("id", "key", "a", F.lit(0))).alias("hi"), F.count("*").alias("n")).filter("lo <> hi").drop("lo", "hi"))
-    total = found.count()
-    # Pieces of which a hash holds a thousandth or more: a thousand rows at most, so they may be broadcast, and the join by hash has no hot key.
-    hot = F.broadcast(first.filter(F.col("n") * HOT >= total).drop("n"))
-    cold = first.filter(F.col("n") * HOT < total).drop("n")
-    both = found.join(hot, "hash").unionByName(found.join(hot.select("hash"), "hash", "left_anti").join(cold, "hash"))
+    both = join_hot(found, first, "hash", found.count())
     own, its = (F.struct(*(F.col(p + c).alias(c) for c in ("id", "key"))) for p in ("", "o."))
     another = ~own.eqNullSafe(its)
     later = both.filter((another & ~F.coalesce(F.col("grp") == F.col("o.grp"), F.lit(False))) | (~another & (F.col("a") > F.col("o.a"))))

@@ -1,13 +1,16 @@
-"""Near-duplicate documents by SimHash with keys over permuted bits.
-
-A document's 256-bit SimHash weighs its distinct words by 1 + log of their count. The bits are laid out in PERMUTATIONS
-fixed random orders, and each order is cut into keys of KEY_BITS bits that share none. Hashes that agree in any key are
-compared in full: every pair within the distance budget that shares a key is found. No segment of a pigeonring chain must
-be equal any more (SEED is 0), so by the pigeonring theorem every pair within the budget is due.
-
-The search is approximate: a pair that shares no key is missed. Recall is measured in the tests and the README. No key's
-group is capped: the pairs of a large group are compared in blocks, and only the edges that join new parts of it are
-passed on, so a group of thousands of copies gives thousands of edges, not millions. Equal hashes are first made one.
+"""Near-duplicate documents by SimHash with pigeonring filtering.
+
+A document's 256-bit SimHash weighs its distinct words by 1 + log of their count. The bits are laid out in several fixed
+random orders, each a ring that is cut into keys. Hashes that agree in a key are candidates; before they are compared in
+full, the chain of segments that begins with the key must stay, segment by segment, within budgets in proportion to the
+bits it spans. By the pigeonring theorem some chain of every pair within the budget does; as only chains that begin with
+an equal key are tried, their budgets have SLACK bits more.
+
+The search is approximate: a pair that shares no key, or none whose chain holds, is missed. Recall is measured in the tests and the README.
+The width of the keys follows the number of hashes, and the number of orders follows the width, so that a key has few
+chance members and recall is the same at any size. No key's group is capped: a group is searched from member to member
+among those not reached yet, so a group of thousands of copies gives thousands of edges, not millions, and takes as many
+comparisons. Equal hashes are first made one.
 """
 
 from __future__ import annotations
@@ -19,21 +22,25 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
-from .common import fresh, per_batch, written
+from .common import fresh, join_hot, per_batch, written
 
-BITS, SEGMENTS, SEED, CHAIN = 256, 32, 0, 10
-PERMUTATIONS, KEY_BITS = 5, 20
-KEYS = BITS // KEY_BITS
+BITS = 256
+BYTES = BITS // 8
+#: Bits of a segment, segments of a chain: its end is that of the first 64-bit word.
+SEGMENT_BITS, CHAIN = 16, 4
+#: The most bits in which near-duplicates differ, and by how many the chains' budgets are wider.
+BUDGET, SLACK = 36, 8
+#: Narrowest and widest keys; as many keys of the narrowest width as give the recall.
+KEY_BITS, KEY_BITS_MOST, KEYS = 20, 28, 60
+#: Hashes that may share a key by chance.
+MATES = 256
 #: Groups of up to so many are compared all at once.
 SMALL = 16
-BYTES = BITS // 8
-#: The most bits in which near-duplicates differ.
-BUDGET = 36
 #: Words whose bits a worker remembers.
 CACHE = 150_000
-BLOCK = 512
 _WORD = re.compile(r"\w+")
 
 
@@ -98,40 +105,51 @@ def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return per_batch(docs, [id_col, text_col], make, f"`id` {docs.schema[id_col].dataType.simpleString()}, sig binary")
 
 
-def join_within(sigs, budget: int):
-    """Pairs (a, b) of row numbers that join the near-duplicates among ``sigs`` (n x BYTES).
+def layout(n: int) -> tuple[int, int]:
+    """(bits of a key, orders) for so many hashes."""
+    bits = max(KEY_BITS, min(KEY_BITS_MOST, (n // MATES).bit_length()))
+    equal = lambda k: math.prod((BITS - BUDGET - i) / (BITS - i) for i in range(k))
+    keys = math.ceil(KEYS * equal(KEY_BITS) / equal(bits))
+    return bits, -(-keys // (BITS // bits))
+
+
+def _chained(a, b, budget: int):
+    """Which pairs of first words have a chain within its budgets: after every segment, those in proportion to its bits."""
+    import numpy as np
+
+    differ = a ^ b
+    ok = np.bitwise_count(differ) <= _limit(CHAIN, budget)
+    for k in range(2, CHAIN):
+        ok &= np.bitwise_count(differ & np.uint64((1 << SEGMENT_BITS * k) - 1)) <= _limit(k, budget)
+    return ok
+
+
+def _limit(segments: int, budget: int) -> int:
+    return -(-segments * SEGMENT_BITS * (budget + SLACK) // BITS)
 
-    Any two rows within the budget are connected by the pairs; pairs that join nothing new are left out.
+
+def join_within(words, budget: int):
+    """Pairs (a, b) of row numbers that join the near-duplicates among ``words`` (n x 4, each beginning with the key).
+
+    Rows whose chain and whole distance are within their budgets are connected by the pairs, which are fewer than the
+    rows: each row is compared with those that no row before has reached.
     """
     import numpy as np
 
-    n = len(sigs)
-    words = np.ascontiguousarray(sigs).view(np.uint64)
-    parent = np.arange(n)
     pairs = []
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for lo in range(0, n, BLOCK):
-        a = words[lo : lo + BLOCK]
-        for lo2 in range(lo, n, BLOCK):
-            b = words[lo2 : lo2 + BLOCK]
-            full = np.zeros((len(a), len(b)), dtype=np.uint16)
-            for k in range(words.shape[1]):
-                full += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
-            ok = full <= budget
-            if lo == lo2:
-                ok = np.triu(ok, 1)
-            i, j = np.nonzero(ok)
-            for x, y in zip((i + lo).tolist(), (j + lo2).tolist()):
-                rx, ry = root(x), root(y)
-                if rx != ry:
-                    parent[max(rx, ry)] = min(rx, ry)
-                    pairs.append((x, y))
+    left = np.arange(len(words))
+    while len(left) > 1:
+        reached, left = [int(left[0])], left[1:]
+        while reached and len(left):
+            x = reached.pop()
+            near = np.flatnonzero(_chained(words[left, 0], words[x, 0], budget))
+            if len(near):
+                near = near[np.bitwise_count(words[left[near]] ^ words[x]).sum(1, dtype=np.uint16) <= budget]
+            if len(near):
+                hit = left[near].tolist()
+                pairs += [(x, y) for y in hit]
+                reached += hit
+                left = np.delete(left, near)
     return pairs
 
 
@@ -143,18 +161,29 @@ def _all_within(words, node, sizes, budget: int):
     left = ends - np.arange(len(ends)) - 1
     i, step = np.flatnonzero(left >= 1), 1
     while len(i):
-        ok = i[np.bitwise_count(words[i] ^ words[i + step]).sum(1, dtype=np.uint16) <= budget]
+        ok = i[_chained(words[i, 0], words[i + step, 0], budget)]
+        ok = ok[np.bitwise_count(words[ok] ^ words[ok + step]).sum(1, dtype=np.uint16) <= budget]
         yield from zip(node[ok].tolist(), node[ok + step].tolist())
         step += 1
         i = i[left[i] >= step]
 
 
-def edges(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """(a, b) numbers of near-duplicates among ``distinct`` (node long, sig), enough to connect all that were found."""
-    rows = distinct.mapInArrow(_keys, "key long, node long, sig binary")
-    n = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
+def _words(column: pa.Array):
+    """A column of 32 bytes each as rows of four 64-bit words."""
+    import numpy as np
+
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset]
+    return np.frombuffer(data, np.uint64, count=4 * len(column), offset=int(at)).reshape(-1, 4)
+
+
+def edges(distinct: DataFrame, budget: int = BUDGET, n: int | None = None) -> DataFrame:
+    """(a, b) numbers of near-duplicates among ``distinct`` (node long, sig), enough to connect all that were found; ``n`` is how many it has."""
+    bits, orders = layout(distinct.count() if n is None else n)
+    rows = distinct.select("node", "sig").mapInArrow(lambda batches: _keys(batches, bits, orders), "key long, node long, sig binary")
+    parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
     # Sorted partitions are read as a stream: a group is held whole, a partition never is.
-    sorted_rows = rows.repartition(int(n), "key").sortWithinPartitions("key")
+    sorted_rows = rows.repartition(int(parts), "key").sortWithinPartitions("key")
 
     def run(batches):
         import numpy as np
@@ -163,8 +192,8 @@ def edges(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
         last = None
         out: set[tuple[int, int]] = set()  # one pair has many keys
 
-        def found(node, sig):
-            out.update((int(node[x]), int(node[y])) for x, y in join_within(sig, budget))
+        def found(node, words):
+            out.update((int(node[x]), int(node[y])) for x, y in join_within(words, budget))
 
         def flush():
             if sum(len(x[0]) for x in held) > 1:
@@ -173,24 +202,22 @@ def edges(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            key = b.column(0).to_numpy()
-            node = b.column(1).to_numpy()
-            sig = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, BYTES)
+            key, node, words = b.column(0).to_numpy(), b.column(1).to_numpy(), _words(b.column(2))
             at = np.flatnonzero(np.diff(key)) + 1
             starts, ends = np.concatenate([[0], at]), np.concatenate([at, [len(key)]])
             if key[0] != last:
                 flush()
                 held, last = [], key[0]
-            held.append((node[: ends[0]], sig[: ends[0]]))
+            held.append((node[: ends[0]], words[: ends[0]]))
             if len(starts) > 1:
                 flush()
                 sizes = ends[1:-1] - starts[1:-1]
                 for g in np.flatnonzero(sizes > SMALL) + 1:
-                    found(node[starts[g] : ends[g]], sig[starts[g] : ends[g]])
+                    found(node[starts[g] : ends[g]], words[starts[g] : ends[g]])
                 few = (sizes > 1) & (sizes <= SMALL)
                 rows = np.flatnonzero(np.repeat(few, sizes)) + ends[0]
-                out.update(_all_within(np.ascontiguousarray(sig[rows]).view(np.uint64), node[rows], sizes[few], budget))
-                held, last = [(node[starts[-1] :], sig[starts[-1] :])], key[-1]
+                out.update(_all_within(words[rows], node[rows], sizes[few], budget))
+                held, last = [(node[starts[-1] :].copy(), words[starts[-1] :].copy())], key[-1]
             if len(out) > 50_000:
                 yield _pairs(out)
                 out.clear()
@@ -205,23 +232,23 @@ def _pairs(x):
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in x], pa.int64()), pa.array([p[1] for p in x], pa.int64())], names=["a", "b"])
 
 
-def _keys(batches):
-    """Every key of every hash: the number of the key, then its bits."""
+def _keys(batches, key_bits: int, orders: int):
+    """Every key of every hash: the number of the key, then its bits; with the hash's bits in that order, turned so that the key comes first."""
     import numpy as np
 
-    orders = np.concatenate([np.random.Generator(np.random.PCG64(p)).permutation(BITS)[: KEYS * KEY_BITS] for p in range(PERMUTATIONS)])
-    count, powers = PERMUTATIONS * KEYS, (1 << np.arange(KEY_BITS)).astype(np.float32)
+    per, powers = BITS // key_bits, (1 << np.arange(key_bits)).astype(np.float64)
+    laid = [np.random.Generator(np.random.PCG64(p)).permutation(BITS) for p in range(orders)]
     for b in batches:
         if not b.num_rows:
             continue
-        sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, BYTES)
-        for lo in range(0, len(sig), 1000):
-            bits = np.unpackbits(sig[lo : lo + 1000], axis=1)
-            m = len(bits)
-            keys = (bits[:, orders].reshape(m * count, KEY_BITS) @ powers).astype(np.int64).reshape(m, count)
-            keys += np.arange(count, dtype=np.int64) << KEY_BITS
-            at = np.repeat(np.arange(lo, lo + m), count)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], names=["key", "node", "sig"])
+        sig = np.unpackbits(_words(b.column(1)).view(np.uint8), axis=1)
+        for p, order in enumerate(laid):
+            for j in range(per):
+                bits = sig[:, np.roll(order, -j * key_bits)]
+                key = (bits[:, :key_bits] @ powers).astype(np.int64) + (np.int64(p * per + j) << key_bits)
+                data = np.packbits(bits, axis=1).tobytes()
+                turned = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(np.arange(0, len(data) + 1, BYTES, dtype=np.int32)), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0), turned], names=["key", "node", "sig"])
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -250,19 +277,41 @@ def components(pairs: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, budget: int = BUDGET, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, keeper) of every document that has a near-duplicate; the keeper is the least id of its group.
 
-    Ids are whole numbers. Null ids, and texts without a word (null, empty, only signs), are in no group. Rows of one id
-    count as that document's; its hashes join. Groups are closed: near-duplicates of near-duplicates are in one.
+    Ids may be of any type that has an order. Null ids, and texts without a word (null, empty, only signs), are in no
+    group. Rows of one id count as that document's; its hashes join. Equal texts, however many, are one hash. Groups are
+    closed: near-duplicates of near-duplicates are in one. Texts are read whole, however long. An empty table gives no
+    rows; other columns, whatever their names, are ignored.
     """
-    sigs = written(signatures(docs.filter(F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col).withColumn("id", F.col("id").cast("long")))
-    distinct = written(sigs.groupBy("sig").agg(F.min("id").alias("node")))
-    near = edges(distinct.select("node", "sig"), budget)
-    # Equal hashes, and several hashes of one id, join by the ids.
-    same = sigs.join(distinct, "sig").filter("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    return components(near.unionByName(same)).select(F.col("node").alias("id"), F.col("root").alias("keeper"))
+    kind = docs.schema[id_col].dataType
+    whole = isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    sigs = signatures(docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), id_col="id", text_col="text")
+    if not whole:
+        # Ids are numbered, and named again at the end.
+        given = written(sigs)
+        names = written(given.select(F.col("id").alias("name")).distinct().withColumn("id", F.monotonically_increasing_id()))
+        sigs = given.withColumnRenamed("id", "name").join(names, "name").select("id", "sig")
+    sigs = written(sigs.withColumn("id", F.col("id").cast("long")))
+    distinct = written(sigs.groupBy("sig").agg(F.min("id").alias("node"), F.max("id").alias("top"), F.count("*").alias("n")))
+    total, n = (x or 0 for x in distinct.agg(F.sum("n"), F.count("*")).first())
+    near = edges(distinct, budget, n)
+    rows = written(join_hot(sigs, distinct, "sig", total).select("id", "node", (F.col("top") > F.col("node")).alias("copied")))
+    # Several hashes of one id join by it.
+    several = rows.groupBy("id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("id", "lo")
+    same = rows.join(several, "id").filter("node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b"))
+    parts = components(near.unionByName(same)).select(F.col("node").alias("member"), "root")
+    out = rows.join(parts, F.col("node") == F.col("member"), "left").filter("copied or root is not null").select("id", F.coalesce("root", "node").alias("keeper")).distinct()
+    if whole:
+        return out.select(F.col("id").cast(kind), F.col("keeper").cast(kind))
+    out = written(out.join(names, "id").select("keeper", "name"))
+    least = out.groupBy(F.col("keeper").alias("root")).agg(F.min("name").alias("least"))
+    return out.join(least, F.col("keeper") == F.col("root")).select(F.col("name").alias("id"), F.col("least").alias("keeper"))
 
 
 def keep_one(docs: DataFrame, budget: int = BUDGET, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` less the near-duplicates: of each group the document of the least id stays (all its rows, if repeated)."""
+    """``docs`` less the near-duplicates: of each group the document of the least id stays (all its rows, if repeated).
+
+    Null ids, and texts without a word, stay. All columns pass through, whatever their names; an empty table gives an empty one.
+    """
     gone = fresh(docs.columns, "_gone")
     out = groups(docs, budget, id_col=id_col, text_col=text_col).filter("id <> keeper").select(F.col("id").alias(gone))
     return docs.join(out, F.col(id_col) == F.col(gone), "left_anti")

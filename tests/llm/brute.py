@@ -113,19 +113,11 @@ def drop_repeats(docs, same=None):
     return out
 
 
-def near(a, b, budget=simhash.BUDGET, chained=True):
-    d = np.bitwise_count(np.frombuffer(a, np.uint8) ^ np.frombuffer(b, np.uint8)).astype(int)
-    if d.sum() > budget:
-        return False
-    if not chained or not d.any():
-        return True
-    ring = np.concatenate([d, d])
-    limits = np.array([(k + 1) * budget // simhash.SEGMENTS for k in range(simhash.CHAIN)])
-    limits[: simhash.SEED] = 0
-    return any((np.cumsum(ring[s : s + simhash.CHAIN]) <= limits).all() for s in range(simhash.SEGMENTS))
-
-
-def near_groups(docs, chained=True):
+def near(a, b, budget=simhash.BUDGET):
+    return int.from_bytes(a).__xor__(int.from_bytes(b)).bit_count() <= budget
+
+
+def near_groups(docs):
     """docs: (id, text); keeper by id of the documents in a group."""
     h = simhash.Hasher()
     sigs = [(i, s) for i, t in docs if i is not None and (s := h(t))]
@@ -139,7 +131,7 @@ def near_groups(docs, chained=True):
     for k, (i, a) in enumerate(sigs):
         for j, b in sigs[k + 1 :]:
             x, y = root(i), root(j)
-            if x != y and near(a, b, chained=chained):
+            if x != y and near(a, b):
                 parent[max(x, y)] = min(x, y)
     members = Counter(root(i) for i in parent)
     return {i: root(i) for i in parent if members[root(i)] > 1}

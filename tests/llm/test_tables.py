@@ -171,17 +171,42 @@ def test_near_duplicates_of_nothing(empty, docs):
 
 
 def test_recall(spark):
-    """Against all pairs within the budget, without the chains."""
+    """Against all pairs within the budget: 0.9 of those that differ are in one group."""
     data = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     h = simhash.Hasher()
     sigs = [(i, s) for i, t in data if (s := h(t))]
-    all_of = brute.np.frombuffer(b"".join(s for _, s in sigs), brute.np.uint64).reshape(-1, 4)
-    close, found = 0, 0
-    for k in range(len(sigs)):
-        d = brute.np.bitwise_count(all_of[k] ^ all_of[k + 1 :]).sum(1)
-        for j in brute.np.flatnonzero(d <= simhash.BUDGET):
-            close, found = close + 1, found + brute.near(sigs[k][1], sigs[k + 1 + int(j)][1])
-    assert close > 50 and found / close >= 0.9
+    group = {r["id"]: r["keeper"] for r in simhash.groups(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    pairs = [(i, j) for k, (i, a) in enumerate(sigs) for j, b in sigs[k + 1 :] if a != b and brute.near(a, b)]
+    assert len(pairs) > 50 and sum(i in group and group[i] == group.get(j) for i, j in pairs) / len(pairs) >= 0.9
+
+
+def test_layout_follows_the_number_of_hashes():
+    assert simhash.layout(0) == simhash.layout(10**6) == (20, 5)
+    for n in (10**9, 10**11):
+        bits, orders = simhash.layout(n)
+        found = brute.math.prod((220 - i) / (256 - i) for i in range(bits)) * orders * (256 // bits)
+        assert bits <= 28 and found >= 60 * brute.math.prod((220 - i) / (256 - i) for i in range(20))
+
+
+def test_wider_keys_find_as_much(spark):
+    rng = brute.np.random.default_rng(7)
+    sigs = []
+    for _ in range(300):
+        a = rng.integers(0, 2, simhash.BITS)
+        b = a.copy()
+        b[rng.choice(simhash.BITS, 36, replace=False)] ^= 1
+        sigs += [bytes(brute.np.packbits(x).tolist()) for x in (a, b)]
+    df = spark.createDataFrame(list(enumerate(sigs)), "node long, sig binary")
+    assert simhash.edges(df, n=2**31).distinct().count() >= 0.88 * 300
+
+
+def test_groups_of_other_kinds_of_ids(spark):
+    text = " ".join(f"word{k}" for k in range(200))
+    data = [("b", text), ("a", text), (None, text), ("c", text + " more"), ("d", "something else"), ("e", None), ("f", "")]
+    df = spark.createDataFrame([(*x, 1) for x in data], "keeper string, text string, id int")
+    assert sorted(map(tuple, simhash.groups(df, id_col="keeper").collect())) == [("a", "a"), ("b", "a"), ("c", "a")]
+    assert sorted(r["keeper"] or "" for r in simhash.keep_one(df, id_col="keeper").collect()) == ["", "a", "d", "e", "f"]
+    assert simhash.groups(df.limit(0), id_col="keeper").count() == 0
 
 
 def test_recall_in_every_band(spark):
