@@ -7,8 +7,9 @@ never kept anywhere; it is what a prefix sum says, and it carries over windows a
 then source, the documents form one stream, cut into full windows; a window's mixture differs from the target by less
 than one document of each source. When a source is empty the others go on in their proportions.
 
-Prefix sums are made in two steps, sums of buckets and then rows within a bucket, so that no task holds a whole source
-or the whole stream.
+Prefix sums are made in two steps, sums of ranges and then rows within a range. Ranges are of about equally many rows,
+whatever the weights, the sources' sizes and the ids: bounds are found by Spark's sampling, over keys made unique, so that
+no task holds a whole source, the whole stream, or all rows of one id.
 """
 
 from __future__ import annotations
@@ -19,14 +20,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .common import HASH_BITS, doc_hash, word_count, written
+from .common import doc_hash, word_count, written
 
-#: Hash buckets of a source's queue and stretches of the stream: the most rows that one task sums in order.
-BUCKET_BITS, STRETCHES = 12, 4096
 #: Quanta are kept in sixteenths of a token.
 UNIT = 16
 
 
+def _ranges(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` written with ``part``, the number of its range in this order (nulls first); ranges have about equally many rows."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()))
+
+
+def stream(docs: DataFrame, window_tokens: int, weights: Mapping[str, float] | None, *, id_col: str, text_col: str, source_col: str, tokens: Callable[[Column], Column]) -> DataFrame:
+    """(doc_id, source, tokens, upto, round, part): documents with the round in which they leave, in ranges of the stream."""
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), doc_hash(F.col(id_col)).alias("h"), tokens(F.col(text_col)).alias("tokens")).filter("tokens > 0")
+    queue = _ranges(written(narrow.withColumn("seq", F.monotonically_increasing_id())), "source", "h", "doc_id", "tokens", "seq")
+    # A row for each range and for each source in it.
+    sums = queue.groupBy("source", "part").agg(F.sum("tokens").alias("t"))
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(F.col("source").alias("s2"), F.col("part").alias("p2"), F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base"))
+    if weights is None:
+        totals = sums.groupBy("source").agg(F.sum("t").alias("n"))
+        quanta = totals.crossJoin(totals.agg(F.sum("n").alias("all"))).select(F.col("source").alias("s3"), F.greatest(F.lit(1), F.expr(f"({UNIT * window_tokens}L * n) div all")).cast("long").alias("q"))
+    else:
+        total = sum(v for v in weights.values() if v > 0)
+        quanta = docs.sparkSession.createDataFrame([(k, max(1, round(UNIT * window_tokens * v / total))) for k, v in weights.items() if v > 0], "s3 string, q long")
+    base = base.join(quanta, F.col("s2").eqNullSafe(F.col("s3"))).drop("s3")
+    run = Window.partitionBy("source", "part").orderBy("h", "doc_id", "tokens", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (
+        queue.withColumn("within", F.sum("tokens").over(run))
+        .join(base, F.col("source").eqNullSafe(F.col("s2")) & (F.col("part") == F.col("p2")))
+        .select("doc_id", "source", "tokens", (F.col("base") + F.col("within")).alias("upto"), "q")
+        .select("doc_id", "source", "tokens", "upto", F.expr(f"(upto * {UNIT}L - 1) div q").alias("round"))
+    )
+    return _ranges(written(ranked), "round", "source", "upto")
+
+
 def pack(
     docs: DataFrame,
     window_tokens: int = 4096,
@@ -45,40 +75,18 @@ def pack(
     each source's share of all tokens, so that all queues empty together.
 
     A queue is ordered by the hash of the id, then id, then length. A null source is a queue of its own; a null id is
-    packed like any other; documents without tokens (null or empty) give no piece; repeated rows are packed each.
-    An empty table gives no rows; columns other than the four named are ignored.
+    packed like any other; documents without tokens (null or empty) give no piece; long texts are counted whole and
+    give several; repeated rows are packed each. An empty table gives no rows; columns other than the three named are
+    ignored, whatever their names.
     """
     if window_tokens < 1:
         raise ValueError("window_tokens must be positive")
-    shift = HASH_BITS - BUCKET_BITS
-    queue = written(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), doc_hash(F.col(id_col)).alias("h"), tokens(F.col(text_col)).alias("tokens")).filter("tokens > 0")
-    ).withColumn("bucket", F.shiftright("h", shift))
-    sums = queue.groupBy("source", "bucket").agg(F.sum("tokens").alias("t"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(F.col("source").alias("s2"), F.col("bucket").alias("b2"), F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base"))
-    totals = queue.groupBy("source").agg(F.sum("tokens").alias("n"))
-    if weights is None:
-        quanta = totals.crossJoin(totals.agg(F.sum("n").alias("all"))).select(F.col("source").alias("s3"), F.greatest(F.lit(1), F.expr(f"({UNIT * window_tokens}L * n) div all")).cast("long").alias("q"))
-    else:
-        total = sum(v for v in weights.values() if v > 0)
-        quanta = docs.sparkSession.createDataFrame([(k, max(1, round(UNIT * window_tokens * v / total))) for k, v in weights.items() if v > 0], "s3 string, q long")
-    run = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        queue.withColumn("within", F.sum("tokens").over(run))
-        .join(base, F.col("source").eqNullSafe(F.col("s2")) & (F.col("bucket") == F.col("b2")))
-        .join(quanta, F.col("source").eqNullSafe(F.col("s3")))
-        .select("doc_id", "source", "tokens", (F.col("base") + F.col("within")).alias("upto"), "q")
-        .select("doc_id", "source", "tokens", "upto", F.expr(f"(upto * {UNIT}L - 1) div q").alias("round"))
-    )
-    ranked = written(ranked)
-    last = ranked.agg(F.max("round").alias("last"))
-    staged = ranked.crossJoin(last).withColumn("stretch", F.expr(f"cast(floor(round / (last + 1.0D) * {STRETCHES}) as int)")).drop("last")
-    parts = staged.groupBy("stretch").agg(F.sum("tokens").alias("t"))
-    # At most STRETCHES rows, whatever the input.
-    starts = parts.select(F.col("stretch").alias("st2"), F.coalesce(F.sum("t").over(Window.partitionBy(F.lit(0)).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    flow = Window.partitionBy("stretch").orderBy("round", "source", "upto", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = staged.withColumn("run", F.sum("tokens").over(flow)).join(starts, F.col("stretch") == F.col("st2")).withColumn("g", F.col("start") + F.col("run") - F.col("tokens"))
+    staged = stream(docs, window_tokens, weights, id_col=id_col, text_col=text_col, source_col=source_col, tokens=tokens)
+    parts = staged.groupBy("part").agg(F.sum("tokens").alias("t"))
+    # A row for each range: as many as there are shuffle partitions.
+    starts = parts.select(F.col("part").alias("p2"), F.coalesce(F.sum("t").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    flow = Window.partitionBy("part").orderBy("round", "source", "upto").rowsBetween(Window.unboundedPreceding, 0)
+    placed = staged.withColumn("run", F.sum("tokens").over(flow)).join(F.broadcast(starts), F.col("part") == F.col("p2")).withColumn("g", F.col("start") + F.col("run") - F.col("tokens"))
     w = window_tokens
     pieces = placed.select("doc_id", "source", "tokens", "g", F.explode(F.expr(f"sequence(g div {w}L, (g + tokens - 1) div {w}L)")).alias("window_id"))
     lo = F.greatest(F.col("g"), F.col("window_id") * w)

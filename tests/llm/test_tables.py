@@ -53,6 +53,17 @@ def test_packing_keeps_proportions(spark):
     assert all(abs(r["a"] - total) < 2.5 * 60 / 512 for r in share)
 
 
+def test_no_range_of_the_stream_is_large(spark):
+    """Weights of 10,000 to 1, and a third of the rows of one id: all ranges are of about equally many rows."""
+    rng = random.Random(6)
+    data = [(7 if k % 3 == 0 else k, " ".join(["w"] * rng.randint(1, 9)), "a" if k % 2 else "b") for k in range(20_000)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    staged = packing.stream(df, 64, {"a": 10_000.0, "b": 1.0}, id_col="doc_id", text_col="text", source_col="source", tokens=common.word_count)
+    sizes = [r["count"] for r in staged.groupBy("part").count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 2 * 20_000 / 4
+    assert tuples(packing.pack(df.limit(3000), 64, {"a": 10_000.0, "b": 1.0})) == sorted(brute.pack([(i, s, len(t.split())) for i, t, s in map(tuple, df.limit(3000).collect())], 64, weights={"a": 10_000.0, "b": 1.0}), key=repr)
+
+
 def test_packing_of_nothing(empty, docs):
     assert packing.pack(empty).count() == 0 and packing.pack(docs.filter("text is null")).count() == 0
     with pytest.raises(ValueError):
