@@ -566,6 +566,18 @@ def test_search_by_brute_force(spark, docs, rows, k, monkeypatch):
     assert got == sorted(brute.top_k([(i, t) for i, t, *_ in rows], queries, k), key=repr)
 
 
+def test_blocks_are_pruned(spark):
+    """Blocks that can't reach the kth score aren't scored, and the result is that of brute force."""
+    rng = random.Random(2)
+    data = [(k, " ".join([*(rng.choice("abcdefgh") for _ in range(40)), *(["rare", "find"] * (k % 97 == 5))])) for k in range(6000)]
+    queries = [(1, "rare find"), (2, "a b rare"), (3, "find c")]
+    report = {}
+    out = search.top_k(spark.createDataFrame(data, "rank long, text string").repartition(3), spark.createDataFrame(queries, "score long, text string"), 5, id_col="rank", query_id_col="score", report=report)
+    assert out.columns == ["score", "rank", "_rank", "_score"]
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(brute.top_k(data, queries, 5), key=repr)
+    assert 0 < report["scored"] < report["blocks"]
+
+
 def test_search_in_several_passes(spark, docs, rows, monkeypatch):
     monkeypatch.setattr(search, "SLICE_TERMS", 20)
     queries = [(n, " ".join(t.split()[:8])) for n, (_, t, *_) in enumerate(rows[:8])]
