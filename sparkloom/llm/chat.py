@@ -59,36 +59,52 @@ def common_prefix(a: str, b: str) -> int:
     return lo
 
 
+def common_suffix(a: str, b: str) -> int:
+    """How many characters the two end with alike."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if a[len(a) - mid : len(a) - lo] == b[len(b) - mid : len(b) - lo]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return lo
+
+
 def turns(messages: Sequence[Message], template: Template) -> tuple[list[Turn], str]:
-    """Every turn's span, and the output of all of them. No messages give no turns and an empty output."""
+    """Every turn's span, and the output of all of them. No messages give no turns and an empty output.
+
+    Of the outputs only the last and the end that all share are held, and of each new one what may be its turn's.
+    """
     if not messages:
         return [], ""
-    outputs = [template(messages[: k + 1]) for k in range(len(messages))]
     try:
-        old = template([])
+        before, checked = template([]), True
     except Exception:  # a template may refuse to render nothing; then the head counts to the first turn
-        old, checked = "", outputs
-    else:
-        checked = [old, *outputs]
-    # A tail is what every output ends with and every new turn stands before: the longest rest of an old output.
-    tail = ""
-    for before, new in zip(checked, checked[1:]):
-        rest = before[common_prefix(before, new) :]
-        if len(rest) > len(tail) and all(x.endswith(rest) for x in checked):
-            tail = rest
-    steps = []
-    for before, new in zip([old, *outputs], outputs):
-        kept = len(before) - (len(tail) if before.endswith(tail) else 0)
+        before, checked = "", False
+    shared = before if checked else None
+    rests, steps = [0], []
+    for k in range(len(messages)):
+        new = template(messages[: k + 1])
         p = common_prefix(before, new)
-        steps.append((kept, len(new) - len(tail), p, p >= kept and len(new) - len(tail) >= kept))
-    whole = outputs[-1]
+        if checked:
+            rests.append(len(before) - p)
+        shared = new if shared is None else shared[len(shared) - common_suffix(shared, new) :]
+        since = max(0, len(before) - len(shared)) if checked else 0
+        steps.append((len(before), checked, len(new), p, since, new[since:]))
+        before, checked = new, True
+    # A tail is what every output ends with and every new turn stands before: the longest rest of an old output.
+    tail = max(n for n in rests if n <= len(shared))
     out: list[Turn] = []
-    lowest = len(whole)  # the least place that a later turn rewrote
-    for (begin, end, p, fits), new in zip(reversed(steps), reversed(outputs)):
-        out.append(Turn(begin, end, None, end <= lowest, new[begin:end]) if fits else Turn(None, None, p, False, None))
-        if not fits:
+    lowest = len(before)  # the least place that a later turn rewrote
+    for old, known, n, p, since, held in reversed(steps):
+        begin, end = old - (tail if known else 0), n - tail
+        if p >= begin and end >= begin:
+            out.append(Turn(begin, end, None, end <= lowest, held[begin - since : end - since]))
+        else:
+            out.append(Turn(None, None, p, False, None))
             lowest = min(lowest, p)
-    return out[::-1], whole
+    return out[::-1], before
 
 
 def format_chats(
@@ -103,9 +119,10 @@ def format_chats(
     """(template, conv_id, turn, role, span_begin, span_end, rewrite_from, stable, piece): a row for every message.
 
     Turns are in the order of their numbers (null first), ties by role and then text; repeated rows are turns each. Null
-    roles and texts render as empty; a null conversation is one of its own. The pieces of a conversation that no turn
-    rewrote, put together, are its output (but for a head or tail that belongs to no turn). An empty table gives no
-    rows; other columns are ignored.
+    roles and texts render as empty; a null conversation is one of its own. Texts are rendered whole, however long; a
+    conversation is one row of a task, as its template sees it. The pieces of a conversation that no turn rewrote, put
+    together, are its output (but for a head or tail that belongs to no turn). An empty table gives no rows; other
+    columns, whatever their names, are ignored.
     """
     chosen = templates if isinstance(templates, dict) else {t: TEMPLATES[t] for t in templates}
     kind, n_kind = (messages.schema[c].dataType.simpleString() for c in (conv_col, turn_col))
