@@ -14,13 +14,13 @@ from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.providers import Client, Provider, client
 from . import schema as S
 from .columns import to_col
-from .messages import combine_messages, string_to_message
+from .messages import string_to_message
 
 #: Requests of one batch under way at once.
 CONCURRENCY = 16
@@ -85,7 +85,11 @@ def _user(text: str) -> list[dict[str, str]]:
 
 
 def _client(given: Client | None, provider: Provider | str | None, model: str | None, embeddings: bool = False) -> Client:
-    return given if given is not None else client(provider, model, embeddings=embeddings)
+    """The client, once it is sure that its key is set: else every row would fail alike."""
+    c = given if given is not None else client(provider, model, embeddings=embeddings)
+    spark = SparkSession.getActiveSession()
+    c.check(lambda name: spark and spark.conf.get(f"spark.executorEnv.{name}", None))
+    return c
 
 
 def inference(prompt, *, provider: Provider | str | None = None, model: str | None = None, response_model: Any = None, response_format: Any = None, client: Client | None = None) -> Column:
@@ -157,5 +161,5 @@ def tag_taxonomy(document, taxonomy: dict[str, dict[str, Any]], *, provider: Pro
     """A struct with, for every field of the taxonomy, its thinking, reflection, value and confidence. One call a document."""
     x = to_col(document)
     system = json.dumps({"role": "system", "content": taxonomy_prompt(taxonomy)}, ensure_ascii=False)
-    messages = F.when(x.isNotNull(), combine_messages(F.lit(system), string_to_message(x)))
+    messages = F.concat(F.lit("[" + system + ","), string_to_message(x), F.lit("]"))
     return inference_messages(messages, provider=provider, model=model, response_model=taxonomy_schema(taxonomy), client=client, concurrency=concurrency)

@@ -4,6 +4,9 @@ Each runs as one Arrow function over whole batches: where all vectors of a batch
 embeddings are, a batch is two matrices and one pass of numpy. Numbers of any type are made doubles there. Rows with a
 null vector are null; vectors of different lengths are an error; pairs of elements of which one is null are left out of
 every sum.
+
+Arrays cross to the worker number by number. ``packed`` turns them, once, into binary columns of 32-bit floats, which cross
+as they are and which all functions here take too; tables of embeddings are best written so.
 """
 
 from __future__ import annotations
@@ -20,6 +23,36 @@ from pyspark.sql import types as T
 from .columns import to_col
 
 
+def _numbers(v: pa.Array) -> pa.Array:
+    """A column of vectors as lists; packed ones without a copy."""
+    if not (pa.types.is_binary(v.type) or pa.types.is_large_binary(v.type)):
+        return v
+    known, offsets, data = v.buffers()
+    ends = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(v.type) else np.int32)[v.offset : v.offset + len(v) + 1]
+    if (ends % 4).any():
+        raise ValueError("a packed vector is of whole 32-bit floats")
+    numbers = pa.Array.from_buffers(pa.float32(), int(ends[-1]) // 4, [None, data if data is not None else pa.py_buffer(b"")])
+    mask = None if not v.null_count else v.is_null()
+    return pa.LargeListArray.from_arrays(pa.array(ends // 4, pa.int64()), numbers, mask=mask)
+
+
+@F.arrow_udf(T.BinaryType())
+def _pack(v: pa.Array) -> pa.Array:
+    if pa.types.is_null(v.type):
+        return pa.nulls(len(v), pa.binary())
+    sizes = pc.list_value_length(v).fill_null(0).to_numpy(zero_copy_only=False)
+    data = v.drop_null().flatten().cast(pa.float32(), safe=False).fill_null(float("nan")).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(sizes)]) * 4
+    known = pc.is_valid(v)
+    packed = pa.Array.from_buffers(pa.binary(), len(v), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data.tobytes())])
+    return pc.if_else(known, packed, pa.scalar(None, pa.binary()))
+
+
+def packed(v) -> Column:
+    """A vector as a binary of 32-bit floats; null for null. A null element becomes NaN, so that what is computed with it is NaN."""
+    return _pack(to_col(v))
+
+
 def _pairs(a: pa.Array, b: pa.Array):
     """(rows, x, y) matrices of the rows that have both vectors, zero where an element is missing; grouped by length."""
     both = np.asarray(pc.and_(a.is_valid(), b.is_valid()).to_numpy(zero_copy_only=False))
@@ -44,6 +77,7 @@ def _by_row(f: Callable[[np.ndarray, np.ndarray], np.ndarray]):
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
         if pa.types.is_null(a.type) or pa.types.is_null(b.type):
             return pa.nulls(len(a), pa.float64())
+        a, b = _numbers(a), _numbers(b)
         out, known = np.zeros(len(a)), np.zeros(len(a), bool)
         for rows, x, y in _pairs(a, b):
             out[rows], known[rows] = f(x, y), True

@@ -2,12 +2,14 @@
 
 The DataFrame form packs both sides into blocks of vectors, pairs every block of queries with every block of the corpus,
 and takes each pair's k best by one matrix product; only k rows a query and block of the corpus are shuffled to find the
-best of all. Nothing is gathered on the driver, and a block's size doesn't depend on the tables'. The corpus's blocks
-are broadcast if Spark finds them small, else every part of one side meets every part of the other.
+best of all. Nothing is gathered on the driver, and a block's size doesn't depend on the tables'. Blocks are laid on a grid
+of as many squares as there are shuffle partitions: a square joins a row's blocks of queries and a column's of the corpus.
+The work is the product of both tables' sizes; ``ann.knn_approx`` looks at a part of it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,6 +64,18 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 5, *, query_id: str
     if k < 0:
         raise ValueError("k must not be negative")
     q_kind, c_kind = queries.schema[query_id].dataType.simpleString(), corpus.schema[corpus_id].dataType.simpleString()
+    left, right = _blocks(queries, query_id, query_vector, "q_", QUERY_BLOCK), _blocks(corpus, corpus_id, corpus_vector, "c_", BLOCK)
+    side = max(1, math.isqrt(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    # Blocks' sizes are compared in the worker: as the key of a join, the one size that all vectors have would put all pairs into one task.
+    every = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    left = left.withColumn("row", (F.rand(0) * side).cast("int")).withColumn("column", every)
+    right = right.withColumn("column2", (F.rand(1) * side).cast("int")).withColumn("row2", every)
+    pairs = left.join(right.hint("shuffle_merge"), (F.col("row") == F.col("row2")) & (F.col("column") == F.col("column2")))
+    return best_of(nearest_in_blocks(pairs, k, exclude_same_id, q_kind, c_kind), k)
+
+
+def nearest_in_blocks(pairs: DataFrame, k: int, exclude_same_id: bool, q_kind: str, c_kind: str) -> DataFrame:
+    """(query_id, neighbor_id, similarity): the k best of every query in every pair of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -69,25 +83,24 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 5, *, query_id: str
                 size = b.column(1)[r].as_py()
                 if size != b.column(4)[r].as_py():
                     continue
-                q_ids, c_ids = b.column(0)[r].values, b.column(3)[r].values
-                x, y = (np.frombuffer(b.column(c)[r].as_py()).reshape(len(i), size) for c, i in ((2, q_ids), (5, c_ids)))
-                near = np.round(x @ y.T, 9)
+                q_all, c_ids = b.column(0)[r].values, b.column(3)[r].values
+                x_all, y = (np.frombuffer(b.column(c)[r].as_buffer()).reshape(len(i), size) for c, i in ((2, q_all), (5, c_ids)))
                 names = c_ids.to_numpy(zero_copy_only=False)
-                if exclude_same_id:
-                    near[q_ids.to_numpy(zero_copy_only=False)[:, None] == names[None, :]] = -np.inf
                 n = min(k, len(c_ids))
-                if not n:
-                    continue
-                # All that reach the nth similarity, so that ties are settled by id.
-                bar = -np.partition(-near, n - 1, axis=1)[:, n - 1]
-                i, j = np.nonzero((near >= bar[:, None]) & np.isfinite(near))
-                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(i)), c_ids.take(pa.array(j)), pa.array(near[i, j])], names=["query_id", "neighbor_id", "similarity"])
+                for lo in range(0, len(q_all) if n else 0, QUERY_BLOCK):
+                    q_ids, x = q_all.slice(lo, QUERY_BLOCK), x_all[lo : lo + QUERY_BLOCK]
+                    near = np.round(x @ y.T, 9)
+                    if exclude_same_id:
+                        near[q_ids.to_numpy(zero_copy_only=False)[:, None] == names[None, :]] = -np.inf
+                    # All that reach the nth similarity, so that ties are settled by id.
+                    bar = -np.partition(-near, n - 1, axis=1)[:, n - 1]
+                    i, j = np.nonzero((near >= bar[:, None]) & np.isfinite(near))
+                    yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(i)), c_ids.take(pa.array(j)), pa.array(near[i, j])], names=["query_id", "neighbor_id", "similarity"])
 
-    left, right = _blocks(queries, query_id, query_vector, "q_", QUERY_BLOCK), _blocks(corpus, corpus_id, corpus_vector, "c_", BLOCK)
-    # Blocks are few rows, of which a file may hold all. Their sizes are compared in the worker: as the key of a join, the
-    # one size that all vectors have would put all pairs into one task.
-    pairs = left.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))).crossJoin(right)
-    found = pairs.select("q_ids", "q_size", "q_data", "c_ids", "c_size", "c_data").mapInArrow(run, f"query_id {q_kind}, neighbor_id {c_kind}, similarity double")
+    return pairs.select("q_ids", "q_size", "q_data", "c_ids", "c_size", "c_data").mapInArrow(run, f"query_id {q_kind}, neighbor_id {c_kind}, similarity double")
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "neighbor_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "neighbor_id", "rank", (1 - F.col("similarity")).alias("distance"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cost, inference, messages, vectors
 from ..functions.accessor import ai
+from ..operators.ann import knn_approx
 from ..operators.knn import gather, knn_join, knn_positions
 from ..sources.providers import Mock
 from ..sources.tables import table
@@ -21,7 +22,7 @@ K = 5
 RANKS = os.environ.get("SPARKLOOM_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 TAXONOMY = {
     "length": {"description": "How long the document is.", "values": {"short": "Under 1,000 characters.", "long": "1,000 characters or more."}},
-    "language": {"description": "What it is written in.", "values": {"plain": "No accents at its beginning.", "accented": "Accents at its beginning."}},
+    "language": {"description": "What it is written in.", "values": {"plain": "No letter with an accent.", "accented": "Letters with accents."}},
 }
 
 
@@ -55,6 +56,32 @@ def knn_topk(spark, d):
     return _knn(table(spark, d, "embeddings")).select(F.col("query_id").alias("vec_id"), F.col("neighbor_id"), F.col("rank"), F.round("distance", 6).alias("distance"))
 
 
+def knn_full_probe(spark, d):
+    """The index searched through all its cells: as exact as ``knn_topk``."""
+    e = table(spark, d, "embeddings")
+    found = knn_approx(e, e, K, cells=16, probes=16, query_id="vec_id", query_vector="embedding", corpus_id="vec_id", corpus_vector="embedding", exclude_same_id=True)
+    return found.select(F.col("query_id").alias("vec_id"), F.col("neighbor_id"), F.col("rank"), F.round("distance", 6).alias("distance"))
+
+
+def knn_index(spark, d):
+    """The index searched through as many cells as its sample asks for; compared with the exact search in the tests."""
+    e = table(spark, d, "embeddings")
+    return knn_approx(e, e, K, query_id="vec_id", query_vector="embedding", corpus_id="vec_id", corpus_vector="embedding", exclude_same_id=True).select(F.col("query_id").alias("vec_id"), "neighbor_id", "rank", "distance")
+
+
+def semantic_search(spark, d):
+    """For every vector whose id 50 divides, the three most similar English documents, which have the vectors of their ids."""
+    e, docs = table(spark, d, "embeddings"), table(spark, d, "documents")
+    corpus = docs.filter("lang = 'en'").join(e, F.col("doc_id") == F.col("vec_id")).select("doc_id", "embedding", "source")
+    found = knn_join(e.filter("vec_id % 50 = 0"), corpus, 3, query_id="vec_id", corpus_id="doc_id")
+    return gather(corpus.select("doc_id", "source"), found, id_col="doc_id").select(F.col("query_id").alias("vec_id"), "doc_id", "source", F.col("rank"), F.round(1 - F.col("distance"), 6).alias("similarity"))
+
+
+def row_slice(spark, d):
+    """Rows 10 to 29 in the order of ids."""
+    return table(spark, d, "embeddings").select("vec_id", "label").orderBy("vec_id").offset(10).limit(20)
+
+
 def filtered_knn(spark, d):
     df = table(spark, d, "embeddings").filter("label = 3")
     return _knn(df).select(F.col("query_id").alias("vec_id"), "neighbor_id", "rank")
@@ -159,7 +186,7 @@ def structured(spark, d):
 
 def _tags(sent, schema):
     text = sent[-1]["content"]
-    chosen = {"length": "long" if len(text) >= 1000 else "short", "language": "plain" if text[:200].isascii() else "accented"}
+    chosen = {"length": "long" if len(text) >= 1000 else "short", "language": "plain" if text.isascii() else "accented"}
     return json.dumps({f: {"thinking": {v: "as told"}, "reflection": "by rule", "value": v, "confidence": (len(text) % 100) / 100} for f, v in chosen.items()})
 
 
@@ -208,7 +235,7 @@ def filtered_tags(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        cosine_pairs, dot_pairs, distance_pairs, knn_topk, filtered_knn, knn_gather, knn_cells, centroids, label_matrix, label_counts, to_message, combine, conversation,
+        cosine_pairs, dot_pairs, distance_pairs, knn_topk, knn_full_probe, knn_index, semantic_search, row_slice, filtered_knn, knn_gather, knn_cells, centroids, label_matrix, label_counts, to_message, combine, conversation,
         template, char_length, mock_inference, mock_inference_async, mock_messages, structured, taxonomy, mock_embedding, cost_tokens, count_tokens, input_cost, top_documents, filtered_tags,
     )
 }
@@ -220,6 +247,13 @@ ORACLE_SQL = {
     "dot_pairs": f"SELECT a.vec_id, round(list_inner_product({_A}, {_B}), 6) AS dot {_NEXT}",
     "distance_pairs": f"SELECT a.vec_id, round(list_distance({_A}, {_B}), 6) AS distance {_NEXT}",
     "knn_topk": f"SELECT vec_id, neighbor_id, CAST(rank AS INTEGER) AS rank, round(1 - round(s, 9), 6) AS distance FROM ({_KNN_SQL.format(t='embeddings')})",
+    "knn_full_probe": f"SELECT vec_id, neighbor_id, CAST(rank AS INTEGER) AS rank, round(1 - round(s, 9), 6) AS distance FROM ({_KNN_SQL.format(t='embeddings')})",
+    "semantic_search": """
+        WITH s AS (SELECT a.vec_id, doc_id, source, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s
+                   FROM embeddings a, embeddings b JOIN documents d ON d.doc_id = b.vec_id WHERE lang = 'en' AND a.vec_id % 50 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, doc_id) AS rank FROM s)
+        SELECT vec_id, doc_id, source, CAST(rank AS INTEGER) AS rank, round(1 - (1 - s), 6) AS similarity FROM r WHERE rank <= 3""",
+    "row_slice": "SELECT vec_id, label FROM embeddings ORDER BY vec_id LIMIT 20 OFFSET 10",
     "filtered_knn": f"SELECT vec_id, neighbor_id, CAST(rank AS INTEGER) AS rank FROM ({_KNN_SQL.format(t='(SELECT * FROM embeddings WHERE label = 3)')})",
     "knn_gather": f"SELECT label, count(*) AS n, count(*) FILTER (theirs = label) AS agree FROM ({_KNN_SQL.format(t='embeddings')}) GROUP BY label",
     "knn_cells": """
@@ -247,7 +281,7 @@ ORACLE_SQL = {
         SELECT doc_id, CASE WHEN length(text) % 7 <> 0 THEN CAST(length(text) AS BIGINT) END AS n, CASE WHEN length(text) % 7 <> 0 THEN substr(text, 1, 1) END AS first,
                CASE WHEN length(text) % 7 <> 0 THEN length(text) >= 1000 END AS long, CASE WHEN length(text) % 7 = 0 THEN 'validation_failed' END AS error FROM documents""",
     "taxonomy": r"""
-        WITH t AS (SELECT doc_id, CASE WHEN length(text) >= 1000 THEN 'long' ELSE 'short' END AS length, CASE WHEN regexp_matches(substr(text, 1, 200), '[^\x00-\x7F]') THEN 'accented' ELSE 'plain' END AS language,
+        WITH t AS (SELECT doc_id, CASE WHEN length(text) >= 1000 THEN 'long' ELSE 'short' END AS length, CASE WHEN regexp_matches(text, '[^\x00-\x7F]') THEN 'accented' ELSE 'plain' END AS language,
                           (length(text) % 100) / 100 AS confidence FROM documents)
         SELECT doc_id, length, language, '{"' || length || '":"as told"}' AS thinking, confidence, CAST(NULL AS VARCHAR) AS error FROM t WHERE confidence > 0.5""",
     "mock_embedding": "SELECT doc_id, CAST(strlen(text) AS DOUBLE) AS n_bytes, 3 AS dims FROM documents",

@@ -1,6 +1,10 @@
 """Registered queries against their SQL in DuckDB, plans, streams, and that the subpackage can be taken away."""
 
+import json
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -50,6 +54,22 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_without_the_subpackage(tmp_path):
+    """With the llm folders and the pipeline deleted the rest imports and lists its own queries."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    at = str(tmp_path / "repo")
+    shutil.copytree(root, at, ignore=lambda d, names: [n for n in names if n in (".git", "llm", "corpus_pipeline.py", "__pycache__", ".pytest_cache")])
+    code = "import __spark_entry__ as e, json; print(json.dumps([sorted(e.queries()), sorted(e.oracle_sql())]))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=at, env=os.environ | {"PYTHONPATH": at}, capture_output=True, text=True, check=True)
+    assert json.loads(out.stdout) == [sorted(own.QUERIES), sorted(own.ORACLE_SQL)]
+    # Nothing but the entry names the subpackage.
+    for folder, _, names in os.walk(os.path.join(at, "sparkloom")):
+        for n in names:
+            if n.endswith(".py"):
+                with open(os.path.join(folder, n)) as f:
+                    assert "llm" not in f.read().replace("ollm", "")
+
+
 def test_scan_reads_two_columns(spark):
     plan = own.QUERIES["filtered_knn"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(label,3)" in plan

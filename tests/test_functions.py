@@ -1,7 +1,9 @@
 """Message, vector, schema and cost columns on small cases."""
 
+import base64
 import json
 import math
+import os
 from typing import Optional
 
 import pytest
@@ -11,6 +13,7 @@ from pyspark.sql import types as T
 
 from sparkloom.functions import cost, messages, schema, vectors
 from sparkloom.functions.accessor import ai
+from sparkloom.operators import ann
 from sparkloom.operators.knn import gather, knn_join, knn_positions
 
 
@@ -77,6 +80,18 @@ def test_similarity(spark):
         assert tuple(g) == pytest.approx(w, abs=1e-9) if w[0] is not None else tuple(g) == w
 
 
+def test_packed_vectors(spark):
+    rows = [(axis(0), axis(1)), ([2.0, 4.0, 6.0], [1.0, 2.0, 3.0]), (None, [0.0]), ([], []), ([0.5] * 700, [0.25] * 700), (None, None)]
+    df = spark.createDataFrame(rows, VECTORS).repartition(3)
+    packed = df.select("a", "b", vectors.packed("a").alias("x"), vectors.packed("b").alias("y"))
+    for f in (vectors.cosine_similarity, vectors.dot_product, vectors.euclidean_distance):
+        for r in packed.select(f("a", "b").alias("u"), f("x", "y").alias("v"), f("x", "b").alias("w")).collect():
+            assert r["u"] is None and r["v"] is None and r["w"] is None or r["v"] == pytest.approx(r["u"], abs=1e-6) == r["w"]
+    with pytest.raises(Exception, match="32-bit"):
+        spark.createDataFrame([(bytearray(b"abc"),)], "a binary").select(vectors.dot_product("a", "a")).collect()
+    assert one(spark.createDataFrame([([1.0, 2.0],)], "v array<float>").select(vectors.packed("v"))) == [b"\0\0\x80?\0\0\0@"]
+
+
 def test_unequal_lengths_fail(spark):
     df = spark.createDataFrame([(axis(0), [1.0, 0.0])], VECTORS)
     with pytest.raises(Exception, match="same length"):
@@ -118,6 +133,38 @@ def test_knn_join_against_brute_force(spark):
     assert knn_join(df, df.limit(0), 3).count() == 0 and knn_join(df, df, 0).count() == 0
 
 
+def test_index_against_exact_search(spark):
+    """Recall of at least 0.95 on vectors in clusters and on vectors that lie anywhere; all found by full probes."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=(30, 24))
+    clustered = middle[rng.integers(30, size=1500)] + 0.3 * rng.normal(size=(1500, 24))
+    for x in (clustered, rng.normal(size=(1200, 24))):
+        rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(None, [1.0] * 24), (9000, None), (9001, [1.0, 2.0]), (9002, [1.0, 2.5]), (9003, [])]
+        df = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(5)
+        pairs = lambda found: {tuple(r) for r in found.select("query_id", "neighbor_id", "rank", "distance").collect()}
+        exact = pairs(knn_join(df, df, 5, exclude_same_id=True))
+        near = {p[:2] for p in pairs(ann.knn_approx(df, df, 5, exclude_same_id=True))}
+        assert len(near & {p[:2] for p in exact}) / len(exact) >= 0.95
+        assert pairs(ann.knn_approx(df, df, 5, cells=7, probes=7, exclude_same_id=True)) == exact
+        assert (9001, 9002) in near
+
+
+def test_index_splits_large_cells(spark, monkeypatch):
+    """All rows in one cell, of which no task gets more than its share; no row is lost or met twice."""
+    monkeypatch.setattr(ann, "CELL_ROWS", 40)
+    monkeypatch.setattr(ann, "CELL_QUERIES", 30)
+    df = spark.createDataFrame([(i, [1.0, 1.0 + i / 1000]) for i in range(300)], "id long, embedding array<float>").repartition(8)
+    found = ann.knn_approx(df, df, 3, cells=1)
+    assert sorted(map(tuple, found.select("query_id", "neighbor_id", "rank").collect())) == sorted(map(tuple, knn_join(df, df, 3).select("query_id", "neighbor_id", "rank").collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan and "BroadcastHashJoin" not in plan
+    assert ann.knn_approx(df, df.limit(0), 3).count() == 0 and ann.knn_approx(df.limit(0), df, 3).count() == 0 and ann.knn_approx(df, df, 0).count() == 0
+    with pytest.raises(ValueError):
+        ann.knn_approx(df, df, -1)
+
+
 class Optionals(BaseModel):
     required: str
     text: Optional[str] = None
@@ -160,6 +207,39 @@ def test_violations():
     assert schema.violations(1.2, {"type": "number", "maximum": 1}) and not schema.violations(1, {"type": "number", "maximum": 1})
 
 
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def slow_tokens(text, ranks):
+    """Byte-pair merges one at a time, the least rank first."""
+    import regex
+
+    n = 0
+    for piece in regex.findall(cost.SPLIT, text):
+        parts = [bytes([b]) for b in piece.encode()]
+        while len(parts) > 1:
+            known = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+            if not known:
+                break
+            _, i = min(known)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        n += len(parts)
+    return n
+
+
+@pytest.mark.skipif(not os.path.exists(RANKS), reason="no vocabulary here")
+def test_tokens_and_their_cost_by_brute_force(spark):
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()[:25]] + ["", " ", "naïve café \U0001f600 12,345.67\n\n\ttab", "aaaaaaaaaaaaaaaaaaaaaaaa", "don't we'll"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "i int, t string")
+    make = cost.rank_tokenizer(RANKS)
+    got = {r[0]: r[1:] for r in df.select("i", cost.count_tokens("t", tokenizer=make), cost.input_cost("t", model="gpt-4o", tokenizer=make)).collect()}
+    want = {i: slow_tokens(t, ranks) for i, t in enumerate(texts)}
+    assert {i: n for i, (n, _) in got.items()} == want | {99: None}
+    assert all(got[i][1] == pytest.approx(n * 2.5 / 1e6, abs=1e-15) for i, n in want.items()) and got[99][1] is None
+
+
 def test_cost(spark):
     df = spark.createDataFrame([(1000,), (None,)], "n long")
     assert one(df.select(cost.cost_from_tokens("n"))) == [pytest.approx(0.01), None]

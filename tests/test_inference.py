@@ -106,6 +106,44 @@ def test_bodies():
     assert bedrock["system"] == [{"text": "s"}] and "toolConfig" not in bedrock
 
 
+def test_bodies_of_tools_and_schemas():
+    groq = P.client("groq").body(SENT, SCHEMA, "S")
+    assert [m["role"] for m in groq["messages"]] == ["system", "user", "assistant", "user", "system"] and groq["model"] == "llama3-70b-8192" and groq["response_format"]["json_schema"]["name"] == "S"
+    bedrock = P.client("bedrock").body(SENT, SCHEMA, "S")
+    assert bedrock["toolConfig"] == {"tools": [{"toolSpec": {"name": "S", "inputSchema": {"json": SCHEMA}}}], "toolChoice": {"tool": {"name": "S"}}}
+    used = {"output": {"message": {"content": [{"text": "so"}, {"toolUse": {"input": {"n": 1}}}]}}}
+    assert P.client("bedrock").parse(used) == '{"n": 1}'
+    how = P.client("gemini").body(SENT, SCHEMA, "S")["generationConfig"]
+    assert how["responseJsonSchema"] == SCHEMA and how["responseMimeType"] == "application/json"
+
+
+def test_embeddings_are_asked_for_and_read(monkeypatch):
+    sent = []
+
+    def send(self, url, headers, body):
+        sent.append((url, headers, body))
+        return {"data": [{"index": 1, "embedding": [9]}, {"index": 0, "embedding": [1, 2.5]}]}
+
+    monkeypatch.setattr(P.OpenAI, "send", send)
+    monkeypatch.setenv("OPENAI_API_KEY", "k")
+    assert P.client(embeddings=True).embed("x") == [1.0, 2.5]
+    assert sent == [("https://api.openai.com/v1/embeddings", {"Authorization": "Bearer k"}, {"model": "text-embedding-3-small", "input": ["x"], "encoding_format": "float"})]
+    with pytest.raises(P.ProviderError):
+        P.client("openai", "gpt-4").embed("x")
+    with pytest.raises(P.ProviderError):
+        P.client("groq").embed("x")
+
+
+def test_missing_keys_are_told_on_the_driver(questions, monkeypatch):
+    for name in ("OPENAI_API_KEY", "AWS_ACCESS_KEY_ID", "AWS_SECRET_ACCESS_KEY", "GEMINI_API_KEY"):
+        monkeypatch.delenv(name, raising=False)
+    for f, options in ((I.inference, {}), (I.inference_async, {"provider": "bedrock"}), (I.inference_messages, {"provider": "gemini"}), (I.embedding, {})):
+        with pytest.raises(P.ProviderError, match="set neither"):
+            f("q", **options)
+    monkeypatch.setenv("OPENAI_API_KEY", "k")
+    I.inference("q")
+
+
 def test_answers_are_read():
     assert P.client("groq").parse({"choices": [{"message": {"content": "x"}}]}) == "x"
     assert P.client("anthropic").parse({"content": [{"type": "text", "text": "x"}, {"type": "tool_use", "input": {"n": 1}}]}) == '{"n": 1}'
