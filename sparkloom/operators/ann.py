@@ -4,8 +4,8 @@ Centres are fitted by spherical k-means on a bounded sample of the corpus; every
 cell of its nearest centre. A query is compared, exactly, with all rows of the ``probes`` cells whose centres are nearest to
 it, so distances are exact and only which rows are looked at is approximate. With as many probes as cells nothing is missed.
 
-Both sides travel as blocks of vectors, keyed by cell and by salts: a cell that holds very many rows, or that very many
-queries ask for, is split over tasks, each of which holds a bounded part of either side. There is no cross join and no
+Both sides are grouped by cell and by salts: a cell that holds very many rows, or that very many queries ask for, is split
+into groups that hold a bounded part of either side, and a group is one matrix product. There is no cross join and no
 broadcast but that of the centres, whose number is bounded.
 """
 
@@ -20,13 +20,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .knn import _matrix, _unit, best_of, nearest_in_blocks
+from .knn import _matrix, _unit, best_of, gathered, nearest
 
 #: The most centres, and the most rows of the corpus on which they are fitted.
 MOST_CELLS, SAMPLE = 4096, 20_000
 #: Rows of a cell, and queries of a cell, that one task gets.
-CELL_ROWS, CELL_QUERIES = 8192, 16_384
+CELL_ROWS, CELL_QUERIES = 8192, 4096
 ROUNDS = 10
 #: Rows of the sample whose own neighbours tell how many cells must be looked at.
 ASKED = 500
@@ -39,10 +40,11 @@ def fit(vectors: np.ndarray, cells: int) -> np.ndarray:
     centres = x[np.random.default_rng(0).permutation(len(x))[:cells]]
     for _ in range(ROUNDS):
         at = _nearest(x, centres, 1)[:, 0]
-        sums = np.zeros_like(centres)
-        np.add.at(sums, at, x)
-        empty = np.bincount(at, minlength=len(centres)) == 0
-        centres = np.where(empty[:, None], centres, _unit(sums))
+        order = np.argsort(at, kind="stable")
+        used, starts = np.unique(at[order], return_index=True)
+        # A centre without rows stays where it is.
+        centres = centres.copy()
+        centres[used] = _unit(np.add.reduceat(x[order], starts, axis=0))
     return centres
 
 
@@ -96,7 +98,7 @@ def _counts(rows: DataFrame, centres: np.ndarray, probes: int) -> dict[int, int]
     """Rows of each cell: as many numbers as there are cells, and lengths of vectors."""
 
     def run(batches):
-        for b in batches:
+        for b in gathered(batches):
             if b.num_rows:
                 found = [(cell, len(at)) for cell, at, _, _ in _by_cell(b, centres, probes)]
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], names=["cell", "n"])
@@ -104,27 +106,32 @@ def _counts(rows: DataFrame, centres: np.ndarray, probes: int) -> dict[int, int]
     return {r["cell"]: r["n"] for r in rows.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
 
 
-def _blocks(rows: DataFrame, centres: np.ndarray, probes: int, own: dict[int, int], other: dict[int, int], prefix: str) -> DataFrame:
-    """Blocks keyed by (cell, salt of the corpus, salt of the queries): each is in one of its own side's salts and in all of the other's."""
-    kind = rows.schema["id"].dataType.simpleString()
-    corpus = prefix == "c_"
+def _salted(rows: DataFrame, centres: np.ndarray, probes: int, own: dict[int, int], other: dict[int, int], corpus: bool) -> DataFrame:
+    """Unit vectors keyed by (cell, salt of the corpus, salt of the queries): each is in one of its own side's salts and in all of the other's."""
 
     def run(batches):
-        rng = np.random.default_rng(0)
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in gathered(batches):
             for cell, at, size, x in _by_cell(b, centres, probes):
-                if cell not in other:
+                n = other.get(cell, 0)
+                if not n:
                     continue
-                data, ids = np.ascontiguousarray(x), b.column(0).take(pa.array(at))
-                mine, n = int(rng.integers(own[cell])), other[cell]
-                salts = [(mine, s) if corpus else (s, mine) for s in range(n)]
-                ids = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(at), pa.int32()), pa.concat_arrays([ids] * n))
-                arrays = [pa.array([cell] * n, pa.int64()), pa.array([s for s, _ in salts], pa.int32()), pa.array([s for _, s in salts], pa.int32()), ids, pa.array([size] * n, pa.int32()), pa.array([data.tobytes()] * n, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["cell", "cs", "qs", "ids", "size", "data"])
+                mine = np.repeat((at + hash(cell)) % own[cell], n).astype(np.int32)
+                theirs = np.tile(np.arange(n, dtype=np.int32), len(at))
+                cs, qs = (mine, theirs) if corpus else (theirs, mine)
+                data, width = np.repeat(x, n, axis=0).tobytes(), 8 * size
+                packed = pa.Array.from_buffers(pa.large_binary(), len(mine), [None, pa.py_buffer(np.arange(len(mine) + 1, dtype=np.int64) * width), pa.py_buffer(data)]).cast(pa.binary())
+                ids = b.column(0).take(pa.array(np.repeat(at, n)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), cell)), pa.array(cs), pa.array(qs), ids, packed], names=["cell", "cs", "qs", "id", "data"])
 
-    return rows.mapInArrow(run, f"{prefix}cell long, {prefix}cs int, {prefix}qs int, {prefix}ids array<{kind}>, {prefix}size int, {prefix}data binary")
+    return rows.mapInArrow(run, f"cell long, cs int, qs int, id {rows.schema['id'].dataType.simpleString()}, data binary")
+
+
+def _vectors(t: pa.Table) -> tuple[pa.Array, np.ndarray]:
+    data = t.column("data").combine_chunks()
+    data = data.chunk(0) if isinstance(data, pa.ChunkedArray) else data
+    x = np.frombuffer(b"".join(data.to_pylist())).reshape(len(data), -1)
+    ids = t.column("id").combine_chunks()
+    return ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids, x
 
 
 def knn_approx(
@@ -152,19 +159,28 @@ def knn_approx(
     if k < 0:
         raise ValueError("k must not be negative")
     q, c = _rows(queries, query_id, query_vector), _rows(corpus, corpus_id, corpus_vector)
-    held = c.select("v").orderBy(F.xxhash64("id"), "id").limit(sample).toArrow().column(0).to_pylist()
-    # The centres are of the length that most of the sample has.
-    size = max(Counter(map(len, held)).items(), key=lambda x: (x[1], x[0]), default=(0, 0))[0]
-    x = np.array([[0.0 if y is None else y for y in v] for v in held if len(v) == size], np.float64) if size else np.zeros((0, 0))
     if cells is None:
         cells = min(MOST_CELLS, max(1, round(c.count() ** 0.5)))
+    drawn = c.select("v").orderBy(F.xxhash64("id"), "id").limit(min(sample, 64 * min(cells, MOST_CELLS))).toArrow().column(0)
+    # The centres are of the length that most of the sample has.
+    lengths = pc.list_value_length(drawn).to_numpy()
+    size = max(Counter(lengths.tolist()).items(), key=lambda x: (x[1], x[0]), default=(0, 0))[0]
+    x = np.concatenate([_matrix(v.filter(pc.equal(pc.list_value_length(v), size))).reshape(-1, size) for v in drawn.chunks]) if size else np.zeros((0, 0))
     centres = fit(x, min(cells, MOST_CELLS)) if len(x) and size else np.zeros((1, size), np.float32)
     probes = enough_probes(x, centres, k, recall) if probes is None else max(1, probes)
     c_salts = {cell: -(-n // CELL_ROWS) for cell, n in _counts(c, centres, 1).items()}
     q_salts = {cell: -(-n // CELL_QUERIES) for cell, n in _counts(q, centres, probes).items()}
-    left, right = _blocks(q, centres, probes, q_salts, c_salts, "q_"), _blocks(c, centres, 1, c_salts, q_salts, "c_")
-    on = [F.col("q_" + n) == F.col("c_" + n) for n in ("cell", "cs", "qs")]
-    # Either side of a key is bounded, and neither is broadcast.
-    pairs = left.join(right.hint("shuffle_merge"), on)
-    kinds = [x.schema["id"].dataType.simpleString() for x in (q, c)]
-    return best_of(nearest_in_blocks(pairs, k, exclude_same_id, *kinds), k)
+    key = ["cell", "cs", "qs"]
+    left, right = _salted(q, centres, probes, q_salts, c_salts, False).groupBy(*key), _salted(c, centres, 1, c_salts, q_salts, True).groupBy(*key)
+    kinds = [x.schema["id"].dataType for x in (q, c)]
+    empty = pa.table({"query_id": pa.array([], to_arrow_type(kinds[0])), "neighbor_id": pa.array([], to_arrow_type(kinds[1])), "similarity": pa.array([], pa.float64())})
+
+    def search(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return empty
+        found = list(nearest(*_vectors(a), *_vectors(b), k, exclude_same_id))
+        return pa.Table.from_batches(found) if found else empty
+
+    # Groups of either side are bounded, and neither side is broadcast.
+    schema = f"query_id {kinds[0].simpleString()}, neighbor_id {kinds[1].simpleString()}, similarity double"
+    return best_of(left.cogroup(right).applyInArrow(search, schema), k)

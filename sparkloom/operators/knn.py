@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import to_col
 
-#: Vectors of a block of queries and of the corpus.
-QUERY_BLOCK, BLOCK = 256, 2048
+#: Vectors of a block and bytes of their numbers, whichever comes first; queries of one matrix product.
+BLOCK, BLOCK_BYTES, QUERY_BLOCK = 2048, 32 << 20, 256
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -35,12 +35,25 @@ def _matrix(v: pa.Array) -> np.ndarray:
     return flat.reshape(len(v), -1)
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of (id, vector) put together until they fill a block."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= BLOCK or sum(8 * len(x.column(1).flatten()) for x in held) >= BLOCK_BYTES:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _blocks(df: DataFrame, id_col: str, vector_col: str, prefix: str, block: int) -> DataFrame:
     """A row for each block: ids, and unit vectors as bytes, by length. Rows of a null id or vector are left out."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in gathered(batches):
             sizes = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
@@ -64,7 +77,7 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 5, *, query_id: str
     if k < 0:
         raise ValueError("k must not be negative")
     q_kind, c_kind = queries.schema[query_id].dataType.simpleString(), corpus.schema[corpus_id].dataType.simpleString()
-    left, right = _blocks(queries, query_id, query_vector, "q_", QUERY_BLOCK), _blocks(corpus, corpus_id, corpus_vector, "c_", BLOCK)
+    left, right = _blocks(queries, query_id, query_vector, "q_", BLOCK), _blocks(corpus, corpus_id, corpus_vector, "c_", BLOCK)
     side = max(1, math.isqrt(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     # Blocks' sizes are compared in the worker: as the key of a join, the one size that all vectors have would put all pairs into one task.
     every = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
@@ -74,6 +87,21 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 5, *, query_id: str
     return best_of(nearest_in_blocks(pairs, k, exclude_same_id, q_kind, c_kind), k)
 
 
+def nearest(q_ids: pa.Array, x: np.ndarray, c_ids: pa.Array, y: np.ndarray, k: int, exclude_same_id: bool) -> Iterator[pa.RecordBatch]:
+    """(query_id, neighbor_id, similarity): the k best rows of ``y`` for every row of ``x``, and all that tie with the kth."""
+    names = c_ids.to_numpy(zero_copy_only=False)
+    n = min(k, len(c_ids))
+    for lo in range(0, len(q_ids) if n else 0, QUERY_BLOCK):
+        ids = q_ids.slice(lo, QUERY_BLOCK)
+        near = np.round(x[lo : lo + QUERY_BLOCK] @ y.T, 9)
+        if exclude_same_id:
+            near[ids.to_numpy(zero_copy_only=False)[:, None] == names[None, :]] = -np.inf
+        # All that reach the nth similarity, so that ties are settled by id.
+        bar = -np.partition(-near, n - 1, axis=1)[:, n - 1]
+        i, j = np.nonzero((near >= bar[:, None]) & np.isfinite(near))
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), c_ids.take(pa.array(j)), pa.array(near[i, j])], names=["query_id", "neighbor_id", "similarity"])
+
+
 def nearest_in_blocks(pairs: DataFrame, k: int, exclude_same_id: bool, q_kind: str, c_kind: str) -> DataFrame:
     """(query_id, neighbor_id, similarity): the k best of every query in every pair of blocks."""
 
@@ -81,21 +109,10 @@ def nearest_in_blocks(pairs: DataFrame, k: int, exclude_same_id: bool, q_kind: s
         for b in batches:
             for r in range(b.num_rows):
                 size = b.column(1)[r].as_py()
-                if size != b.column(4)[r].as_py():
-                    continue
-                q_all, c_ids = b.column(0)[r].values, b.column(3)[r].values
-                x_all, y = (np.frombuffer(b.column(c)[r].as_buffer()).reshape(len(i), size) for c, i in ((2, q_all), (5, c_ids)))
-                names = c_ids.to_numpy(zero_copy_only=False)
-                n = min(k, len(c_ids))
-                for lo in range(0, len(q_all) if n else 0, QUERY_BLOCK):
-                    q_ids, x = q_all.slice(lo, QUERY_BLOCK), x_all[lo : lo + QUERY_BLOCK]
-                    near = np.round(x @ y.T, 9)
-                    if exclude_same_id:
-                        near[q_ids.to_numpy(zero_copy_only=False)[:, None] == names[None, :]] = -np.inf
-                    # All that reach the nth similarity, so that ties are settled by id.
-                    bar = -np.partition(-near, n - 1, axis=1)[:, n - 1]
-                    i, j = np.nonzero((near >= bar[:, None]) & np.isfinite(near))
-                    yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(i)), c_ids.take(pa.array(j)), pa.array(near[i, j])], names=["query_id", "neighbor_id", "similarity"])
+                if size == b.column(4)[r].as_py():
+                    q_ids, c_ids = b.column(0)[r].values, b.column(3)[r].values
+                    x, y = (np.frombuffer(b.column(c)[r].as_buffer()).reshape(len(i), size) for c, i in ((2, q_ids), (5, c_ids)))
+                    yield from nearest(q_ids, x, c_ids, y, k, exclude_same_id)
 
     return pairs.select("q_ids", "q_size", "q_data", "c_ids", "c_size", "c_data").mapInArrow(run, f"query_id {q_kind}, neighbor_id {c_kind}, similarity double")
 
