@@ -1,13 +1,14 @@
-"""Exact top-k search (BM25) by block-at-a-time pruning over forward indexes.
+"""Exact top-k search (BM25) over forward indexes: block-at-a-time pruning for short queries, whole scoring for long ones.
 
-Documents are cut, as they are stored, into blocks of a fixed number. A block holds a forward index: of each document the
-terms that any query has, with their counts. With the corpus's statistics a block's largest contribution of each term is
-known, and a query's bound for a block is the sum over its terms. For every query blocks are taken in order of falling
-bounds and scored through their forward index until the bound falls below the kth score. The kth score begins at what
-the query's best block of all gives, so tasks that never meet a good block prune too. Nothing is sorted or shuffled but
-the k best of each query and task.
+Documents are indexed once: cut, as they are stored, into blocks of a fixed number, of each document its words' hashes with
+their counts. With the corpus's statistics a block's largest contribution of each term is known, and a short query's bound
+for a block is the sum over its terms. For every short query blocks are taken in order of falling bounds and scored through
+their forward index until the bound falls below the kth score. Bounds of long queries, such as whole documents, hardly ever
+fall below it; these are scored against every document, the most frequent terms by a product of matrices and the others by
+inverted lists. Nothing is sorted or shuffled but the k best of each query and task.
 
-Contributions are whole millionths, so bounds and scores add up exactly in any order and ties are true ties.
+Contributions are whole millionths, so bounds and scores add up exactly in any order (in doubles too, below 2^53) and ties
+are true ties. Words are told apart by hashes of 64 bits.
 """
 
 from __future__ import annotations
@@ -24,12 +25,14 @@ from . import common
 from .common import written
 
 K1, B, UNIT = 1.2, 0.75, 1_000_000
-#: Documents of a block; blocks of which a task holds the forward indexes at once. Small blocks have bounds near their
+#: Documents of a block; blocks, and (about) postings, that a task holds at once. Small blocks have bounds near their
 #: documents' scores: of blocks of 256 documents of prose nearly all must be scored, of these a third.
-BLOCK, HELD = 8, 4096
+BLOCK, HELD, HELD_TERMS = 8, 4096, 2_000_000
+#: Queries of more different terms are scored whole; so many of the most frequent terms as a matrix, for so many queries at once.
+PRUNED_TERMS, DENSE, AT_ONCE = 32, 256, 64
 #: The most query terms that are sent to the workers at once; more queries are searched in several passes.
 SLICE_TERMS = 1_000_000
-#: In place of a query: how many blocks were scored, and how many hold a term of the query, over all queries.
+#: In place of a query: how many blocks were scored, and how many hold a term of the query, over all short queries.
 SCORED, BLOCKS = -1, -2
 _WORD = re.compile(r"\w+")
 
@@ -39,96 +42,157 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def _hash(word: str) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 class Queries:
-    """Query rows with their terms numbered. Picklable; its size is bounded by the slice."""
+    """Query rows with their terms numbered in order of their hashes. Picklable; its size is bounded by the slice."""
 
     def __init__(self, rows: list[tuple[object, str | None]]):
+        import numpy as np
+
         self.ids = [i for i, _ in rows]
         counts = [Counter(words(t)) for _, t in rows]
-        self.vocabulary = {w: k for k, w in enumerate(sorted({w for c in counts for w in c}))}
-        self.terms = [[(self.vocabulary[w], n) for w, n in sorted(c.items())] for c in counts]
+        known = {w: _hash(w) for c in counts for w in c}
+        self.hashes = np.unique(np.fromiter(known.values(), np.int64, len(known)))
+        #: Of each query the terms' numbers and counts.
+        self.terms = [(np.searchsorted(self.hashes, [known[w] for w in c]).astype(np.int32), np.fromiter(c.values(), np.float64, len(c))) for c in counts]
 
 
-def _index(batches: Iterator[pa.RecordBatch], vocabulary: dict[str, int]) -> Iterator[pa.RecordBatch]:
-    """A row for every block: its documents' ids and lengths, and where each one's terms begin; terms and counts."""
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for every block: its documents' ids and lengths, and how many terms each one has; terms' hashes and counts."""
     import numpy as np
-    from pyspark import TaskContext
 
-    first = TaskContext.get().partitionId() << 32
-    number = 0
-    get = vocabulary.get
     for b in batches:
         texts = b.column(1).to_pylist()
+        out: list[list] = [[] for _ in range(7)]
+        offsets, kept = [0], []
         for lo in range(0, b.num_rows, BLOCK):
-            kept, lengths, sizes, terms, counts, n_tokens = [], [], [], [], [], 0
+            lengths, sizes, terms, counts, n_tokens = [], [], [], [], 0
             part = texts[lo : lo + BLOCK]
             for r, t in enumerate(part):
                 all_of = words(t)
-                n_tokens += len(all_of)
-                known = Counter(map(get, all_of))
-                known.pop(None, None)
-                if known:
+                if all_of:
+                    each = Counter(all_of)
+                    n_tokens += len(all_of)
                     kept.append(lo + r)
                     lengths.append(len(all_of))
-                    sizes.append(len(known))
-                    terms.extend(known)
-                    counts.extend(known.values())
-            ids = b.column(0).take(pa.array(kept, pa.int64()))
-            offsets = pa.array([0, len(kept)], pa.int32())
-            packed = [pa.array([np.asarray(x, np.int32).tobytes()], pa.binary()) for x in (lengths, sizes, terms, counts)]
-            yield pa.RecordBatch.from_arrays([pa.array([first + number], pa.int64()), pa.array([len(part)], pa.int64()), pa.array([n_tokens], pa.int64()), pa.ListArray.from_arrays(offsets, ids), *packed], names=["block", "n_docs", "n_tokens", "ids", "lengths", "sizes", "terms", "counts"])
-            number += 1
+                    sizes.append(len(each))
+                    terms.extend(map(_hash, each))
+                    counts.extend(each.values())
+            offsets.append(len(kept))
+            packed = [np.asarray(terms, np.int64), *(np.asarray(x, np.int32) for x in (lengths, sizes, counts))]
+            for column, x in zip(out, [len(part), n_tokens, len(terms), *(x.tobytes() for x in packed)]):
+                column.append(x)
+        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), b.column(0).take(pa.array(kept, pa.int64())))
+        n_docs, n_tokens, n_terms, *packed = out[:7]
+        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (n_docs, n_tokens, n_terms)), ids, *(pa.array(x, pa.binary()) for x in packed)], names=["n_docs", "n_tokens", "n_terms", "ids", "terms", "lengths", "sizes", "counts"])
+
+
+def _number(raw: bytes, hashes):
+    """Which of these hashes are the queries', and their numbers."""
+    import numpy as np
+
+    terms = np.frombuffer(raw, np.int64)
+    at = np.minimum(np.searchsorted(hashes, terms), len(hashes) - 1)
+    known = np.flatnonzero(hashes[at] == terms)
+    return known, at[known]
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch], n_terms: int) -> Iterator[pa.RecordBatch]:
+def _frequencies(batches: Iterator[pa.RecordBatch], hashes) -> Iterator[pa.RecordBatch]:
     """(term, df): in how many of the task's documents each term is."""
     import numpy as np
 
-    df = np.zeros(n_terms, np.int64)
+    df = np.zeros(len(hashes), np.int64)
     for b in batches:
-        for x in b.column(0).to_pylist():
-            df += np.bincount(np.frombuffer(x, np.int32), minlength=n_terms)
+        for x in b.column(0):
+            np.add.at(df, _number(x.as_py(), hashes)[1], 1)
     at = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["term", "df"])
 
 
-class Block:
-    """A forward index with every posting's contribution."""
+def _ranges(starts, sizes):
+    """The numbers of ranges, one after another."""
+    import numpy as np
+
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+class Part:
+    """Blocks with every posting's contribution, by document and by term."""
 
-    def __init__(self, row: dict, idf, mean_length: float):
+    def __init__(self, rows: list[dict], hashes, idf, mean_length: float):
         import numpy as np
 
-        self.number, self.ids = row["block"], row["ids"]
-        lengths, sizes, self.terms, counts = (np.frombuffer(row[c], np.int32) for c in ("lengths", "sizes", "terms", "counts"))
+        joined = lambda c, kind: np.frombuffer(b"".join(r[c] for r in rows), kind)
+        lengths, sizes, counts = (joined(c, np.int32) for c in ("lengths", "sizes", "counts"))
+        self.ids = [i for r in rows for i in r["ids"]]
+        self.n_docs, self.n_blocks = len(self.ids), len(rows)
+        known, self.term = _number(b"".join(r["terms"] for r in rows), hashes)
+        self.doc = np.repeat(np.arange(self.n_docs), sizes)[known]
         norm = K1 * (1 - B + B * lengths / mean_length)
-        tf = counts.astype(np.float64)
-        self.gain = np.floor(idf[self.terms] * (tf * (K1 + 1) / (tf + np.repeat(norm, sizes))) * UNIT + 0.5).astype(np.int64)
-        self.starts = np.cumsum(sizes) - sizes
+        tf = counts[known].astype(np.float64)
+        self.gain = np.floor(idf[self.term] * (tf * (K1 + 1) / (tf + norm[self.doc])) * UNIT + 0.5)
+        block_of = np.repeat(np.arange(self.n_blocks), [len(r["ids"]) for r in rows])
+        block = block_of[self.doc]
+        self.block_start = np.searchsorted(block, np.arange(self.n_blocks + 1))
+        # By term, then document.
+        order = np.argsort(self.term, kind="stable")
+        self.by_doc, self.by_gain = self.doc[order], self.gain[order]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(self.term, minlength=len(hashes)))])
+        # By term, then block: the largest contribution.
+        term, block = self.term[order], block[order]
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(term) != 0) | (np.diff(block) != 0)])) if len(order) else order
+        self.max_block, self.max_gain = block[first], np.maximum.reduceat(self.by_gain, first) if len(first) else self.by_gain
+        self.max_start = np.concatenate([[0], np.cumsum(np.bincount(term[first], minlength=len(hashes)))])
+
+    def _sum(self, start, at, gain, n: int, terms, counts):
+        import numpy as np
+
+        sizes = start[terms + 1] - start[terms]
+        x = _ranges(start[terms], sizes)
+        return np.bincount(at[x], gain[x] * np.repeat(counts, sizes), n)
+
+    def bounds(self, terms, counts):
+        return self._sum(self.max_start, self.max_block, self.max_gain, self.n_blocks, terms, counts)
 
-    def maxima(self, n_terms: int):
+    def scores(self, terms, counts):
+        return self._sum(self.start, self.by_doc, self.by_gain, self.n_docs, terms, counts)
+
+    def scores_of(self, blocks, weights):
+        """Scores of these blocks' documents, by the forward index; ``weights`` has the query's count of each term."""
         import numpy as np
 
-        out = np.zeros(n_terms, np.int64)
-        np.maximum.at(out, self.terms, self.gain)
-        return out
+        x = _ranges(self.block_start[blocks], self.block_start[blocks + 1] - self.block_start[blocks])
+        return np.bincount(self.doc[x], self.gain[x] * weights[self.term[x]], self.n_docs)
 
-    def scores(self, weights):
-        """Every document's score; ``weights`` has the query's count of each term."""
+    def dense(self):
+        """The most frequent terms, and a matrix of them and the documents."""
         import numpy as np
 
-        return np.add.reduceat(self.gain * weights[self.terms], self.starts) if len(self.starts) else np.zeros(0, np.int64)
+        common = np.argsort(-np.diff(self.start), kind="stable")[:DENSE]
+        out = np.zeros((len(common), self.n_docs))
+        for row, t in enumerate(common):
+            out[row, self.by_doc[self.start[t] : self.start[t + 1]]] = self.by_gain[self.start[t] : self.start[t + 1]]
+        return common, out
 
 
 class Best:
     """The k best (score, id), ties by id, null first."""
 
-    def __init__(self, k: int, floor: int):
-        self.k, self.floor, self.held = k, max(floor, 1), []
+    def __init__(self, k: int):
+        self.k, self.floor, self.held = k, 1, []
 
     def add(self, ids: list, scores) -> None:
         import numpy as np
 
         at = np.flatnonzero(scores >= self.floor)
+        if len(at) > self.k:
+            some = scores[at]
+            at = at[some >= np.partition(some, len(at) - self.k)[len(at) - self.k]]
         if len(at):
             self.held = sorted([*self.held, *((int(scores[i]), ids[i]) for i in at)], key=_order)[: self.k]
             if len(self.held) == self.k:
@@ -139,98 +203,78 @@ def _order(x: tuple) -> tuple:
     return -x[0], x[1] is not None, x[1] if x[1] is not None else 0
 
 
-def _bounds(blocks: list[Block], queries: Queries):
-    """Blocks x queries: the sums of the blocks' term maxima."""
-    import numpy as np
-
-    asked = [q for q, terms in enumerate(queries.terms) if terms]
-    flat = np.array([x for q in asked for x in queries.terms[q]], np.int64).reshape(-1, 2)
-    starts = np.cumsum([0, *(len(queries.terms[q]) for q in asked)])[:-1]
-    out = np.zeros((len(blocks), len(queries.terms)), np.int64)
-    for i, block in enumerate(blocks):
-        if asked:
-            out[i, asked] = np.add.reduceat(block.maxima(len(queries.vocabulary))[flat[:, 0]] * flat[:, 1], starts)
-    return out
-
-
-def _held(batches: Iterator[pa.RecordBatch], idf, mean_length: float) -> Iterator[list[Block]]:
-    part: list[Block] = []
+def _held(batches: Iterator[pa.RecordBatch], hashes, idf, mean_length: float) -> Iterator[Part]:
+    part, n = [], 0
     for b in batches:
         for i in range(b.num_rows):
-            part.append(Block(b.slice(i, 1).to_pylist()[0], idf, mean_length))
-            if len(part) == HELD:
-                yield part
-                part = []
+            part.append(b.slice(i, 1).to_pylist()[0])
+            n += part[-1]["n_terms"]
+            if len(part) == HELD or n >= HELD_TERMS:
+                yield Part(part, hashes, idf, mean_length)
+                part, n = [], 0
     if part:
-        yield part
+        yield Part(part, hashes, idf, mean_length)
 
 
-def _slice(docs: DataFrame, queries: Queries, k: int, id_col: str, text_col: str) -> DataFrame:
+def _slice(blocks: DataFrame, queries: Queries, k: int, kind, n_docs: int, n_tokens: int) -> DataFrame:
     """(query, doc, score) of the k best of each task, numbers of ``queries`` for queries; under SCORED and BLOCKS, sums."""
     import numpy as np
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    vocabulary, n_terms = queries.vocabulary, len(queries.vocabulary)
-    blocks = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda it: _index(it, vocabulary), f"block long, n_docs long, n_tokens long, ids array<{kind}>, lengths binary, sizes binary, terms binary, counts binary"))
-    n_docs, n_tokens = blocks.agg(F.sum("n_docs"), F.sum("n_tokens")).first()
-    empty = docs.sparkSession.createDataFrame([], f"query int, doc {kind}, score long")
-    if not n_tokens:
-        return empty
-    df = np.zeros(n_terms, np.float64)
+    hashes = queries.hashes
+    df = np.zeros(len(hashes), np.float64)
     # A row for each query term at most.
-    for r in blocks.select("terms").mapInArrow(lambda it: _frequencies(it, n_terms), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
+    for r in blocks.select("terms").mapInArrow(lambda it: _frequencies(it, hashes), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
         df[r["term"]] = r["df"]
     idf, mean_length = np.log(1 + (n_docs - df + 0.5) / (df + 0.5)), n_tokens / n_docs
+    id_type = to_arrow_type(kind)
+    short = [q for q, (terms, _) in enumerate(queries.terms) if 0 < len(terms) <= PRUNED_TERMS]
+    long = [q for q, (terms, _) in enumerate(queries.terms) if len(terms) > PRUNED_TERMS]
 
-    def leading(batches):
-        """Each query's best block of the task."""
-        best = [(0, -1)] * len(queries.terms)
-        for part in _held(batches, idf, mean_length):
-            bounds = _bounds(part, queries)
-            at = bounds.argmax(0)
-            best = [max(old, (int(bounds[a, q]), part[a].number)) for q, (old, a) in enumerate(zip(best, at))]
-        rows = [(q, bound, block) for q, (bound, block) in enumerate(best) if bound]
-        cols = list(zip(*rows)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64()))], names=["query", "bound", "block"])
-
-    def search(batches, floors, only):
-        """The k best of the task, in order of bounds; ``only``: the queries of each block, or None for all."""
-        best = [Best(k, floors[q]) for q in range(len(queries.terms))]
+    def search(batches):
+        best = [Best(k) for _ in queries.terms]
         scored = blocks_in = 0
-        weights = np.zeros(n_terms, np.int64)
-        for part in _held(batches, idf, mean_length):
-            bounds = _bounds(part, queries)
-            for q, terms in enumerate(queries.terms):
-                if not terms:
-                    continue
-                at, n = [t for t, _ in terms], [n for _, n in terms]
-                weights[at] = n
-                blocks_in += int((bounds[:, q] > 0).sum())
-                for i in np.argsort(-bounds[:, q], kind="stable"):
-                    if bounds[i, q] < best[q].floor:
+        weights = np.zeros(len(hashes))
+        for part in _held(batches, hashes, idf, mean_length):
+            for q in short:
+                terms, counts = queries.terms[q]
+                bounds = part.bounds(terms, counts)
+                blocks_in += int((bounds > 0).sum())
+                order = np.argsort(-bounds, kind="stable")
+                weights[terms] = counts
+                # More at a time as it goes on, so that the kth score is known early.
+                at, size = 0, 2
+                while at < len(order):
+                    some = order[at : at + size]
+                    some = some[bounds[some] >= best[q].floor]
+                    if not len(some):
                         break
-                    if only is None or q in only.get(part[i].number, ()):
-                        scored += 1
-                        best[q].add(part[i].ids, part[i].scores(weights))
-                weights[at] = 0
+                    scored += len(some)
+                    best[q].add(part.ids, part.scores_of(some, weights))
+                    at, size = at + size, 2 * size
+                weights[terms] = 0
+            if not long:
+                continue
+            common, matrix = part.dense()
+            rare = np.ones(len(hashes), bool)
+            rare[common] = False
+            for lo in range(0, len(long), AT_ONCE):
+                some = long[lo : lo + AT_ONCE]
+                asked = np.zeros((len(some), len(common)))
+                for row, q in enumerate(some):
+                    terms, counts = queries.terms[q]
+                    weights[terms] = counts
+                    asked[row] = weights[common]
+                    weights[terms] = 0
+                for q, scores in zip(some, asked @ matrix):
+                    terms, counts = queries.terms[q]
+                    left = rare[terms]
+                    best[q].add(part.ids, scores + part.scores(terms[left], counts[left]))
         rows = [(q, doc, score) for q, b in enumerate(best) for score, doc in b.held]
-        rows += [(SCORED, None, scored), (BLOCKS, None, blocks_in)] if only is None else []
+        rows += [(SCORED, None, scored), (BLOCKS, None, blocks_in)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], id_type), pa.array([r[2] for r in rows], pa.int64())], names=["query", "doc", "score"])
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    id_type = to_arrow_type(docs.schema[id_col].dataType)
-    best = blocks.mapInArrow(leading, "query int, bound long, block long").groupBy("query").agg(F.max(F.struct("bound", "block")).alias("best"))
-    only: dict[int, set[int]] = {}
-    for r in best.select("query", "best.block").collect():
-        only.setdefault(r["block"], set()).add(r["query"])
-    no_floor = [1] * len(queries.terms)
-    floors = list(no_floor)
-    seeds = blocks.filter(F.col("block").isin(list(only))).mapInArrow(lambda it: search(it, no_floor, only), f"query int, doc {kind}, score long")
-    for r in seeds.groupBy("query").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).collect():
-        if len(r["s"]) >= k:
-            floors[r["query"]] = r["s"][k - 1]
-    return blocks.mapInArrow(lambda it: search(it, floors, None), f"query int, doc {kind}, score long")
+    return blocks.mapInArrow(search, f"query int, doc {kind.simpleString()}, score long")
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str = "doc_id", text_col: str = "text", query_id_col: str = "item_id", query_text_col: str = "text", report: dict[str, int] | None = None) -> DataFrame:
@@ -242,8 +286,9 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str = "do
     empty table on either side gives no rows. Should both ids be named alike, the query's has ``query_`` before it; rank
     and score have underscores before them where an id is named so. Other columns are ignored.
 
-    Queries are searched in passes; of a pass only the result, written to the shared folder, is kept. ``report`` gets how
-    many blocks were ``scored`` of all the ``blocks`` that hold a term of the query, over all queries.
+    The corpus is indexed once, in the shared folder. Queries are searched in passes; of a pass only the result, written
+    there too, is kept. ``report`` gets how many blocks were ``scored`` of all the ``blocks`` that hold a term of the query,
+    over all queries of at most PRUNED_TERMS terms.
     """
     spark: SparkSession = docs.sparkSession
     out_id = query_id_col if query_id_col.lower() != id_col.lower() else f"query_{query_id_col}"
@@ -254,10 +299,17 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str = "do
     query_kind, doc_kind = queries.schema[query_id_col].dataType.simpleString(), docs.schema[id_col].dataType.simpleString()
     rank_name, score_name = (common.fresh([out_id, id_col], x) for x in ("rank", "score"))
     out = spark.createDataFrame([], f"`{out_id}` {query_kind}, `{id_col}` {doc_kind}, `{rank_name}` int, `{score_name}` double")
-    for p in range(passes if total else 0):
+    if not total:
+        return out
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    blocks = written(texts.mapInArrow(_index, f"n_docs long, n_tokens long, n_terms long, ids array<{doc_kind}>, terms binary, lengths binary, sizes binary, counts binary"))
+    n_docs, n_tokens = blocks.agg(F.sum("n_docs"), F.sum("n_tokens")).first()
+    for p in range(passes if n_tokens else 0):
         rows = asked.filter(F.pmod(F.xxhash64("id", "text"), F.lit(passes)) == p).collect()
         q = Queries([(r["id"], r["text"]) for r in rows])
-        found = written(_slice(docs, q, k, id_col, text_col))
+        if not len(q.hashes):
+            continue
+        found = written(_slice(blocks, q, k, docs.schema[id_col].dataType, n_docs, n_tokens))
         for r in found.filter("query < 0").groupBy("query").agg(F.sum("score").alias("n")).collect() if report is not None else ():
             name = "scored" if r["query"] == SCORED else "blocks"
             report[name] = report.get(name, 0) + r["n"]
@@ -270,12 +322,16 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str = "do
     return out
 
 
-TOP = 10
+#: The documents asked for are those of ids that this divides.
+TOP, EACH = 10, 50
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    """The ten best documents for every benchmark item."""
-    return top_k(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), TOP)
+    """The ten best documents for every benchmark item, and for every document whose id EACH divides (itself among them)."""
+    docs, items = (common.table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    asked = items.select(F.struct(F.lit("benchmark").alias("asked"), F.col("item_id").cast("long").alias("id")).alias("item"), "text")
+    asked = asked.unionByName(docs.filter(F.col("doc_id") % EACH == 0).select(F.struct(F.lit("documents").alias("asked"), F.col("doc_id").cast("long").alias("id")).alias("item"), "text"))
+    return top_k(docs, asked, TOP, query_id_col="item").select("item.asked", F.col("item.id").alias("item_id"), "doc_id", "rank", "score")
 
 
 OP10_SQL = rf"""
@@ -285,8 +341,9 @@ p AS (SELECT doc_id, len(any_value(w)) AS length, t, count(*)::DOUBLE AS tf FROM
 f AS (SELECT t, ln(1 + (any_value(n_docs) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p CROSS JOIN n GROUP BY t),
 g AS (SELECT doc_id, p.t, CAST(floor(idf * (tf * ({K1} + 1) / (tf + {K1} * (1 - {B} + {B} * length / mean))) * {UNIT} + 0.5) AS BIGINT) AS gain
       FROM p JOIN f ON p.t = f.t CROSS JOIN n),
-q AS (SELECT item_id, t, count(*) AS c FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS t FROM benchmark) GROUP BY item_id, t),
-s AS (SELECT item_id, doc_id, CAST(sum(gain * c) AS BIGINT) AS score FROM g JOIN q ON g.t = q.t GROUP BY item_id, doc_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM s WHERE score > 0)
-SELECT item_id, doc_id, CAST(rank AS INTEGER) AS rank, score / {UNIT} AS score FROM r WHERE rank <= {TOP}
+a AS (SELECT 'benchmark' AS asked, item_id, text FROM benchmark UNION ALL SELECT 'documents', doc_id, text FROM documents WHERE doc_id % {EACH} = 0),
+q AS (SELECT asked, item_id, t, count(*) AS c FROM (SELECT asked, item_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS t FROM a) GROUP BY asked, item_id, t),
+s AS (SELECT asked, item_id, doc_id, CAST(sum(gain * c) AS BIGINT) AS score FROM g JOIN q ON g.t = q.t GROUP BY asked, item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY asked, item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM s WHERE score > 0)
+SELECT asked, item_id, doc_id, CAST(rank AS INTEGER) AS rank, score / {UNIT} AS score FROM r WHERE rank <= {TOP}
 """

@@ -590,3 +590,18 @@ def test_search_in_several_passes(spark, docs, rows, monkeypatch):
 def test_search_of_nothing(spark, docs, empty):
     q = spark.createDataFrame([(1, "only one")], "item_id long, text string")
     assert search.top_k(empty, q).count() == 0 and search.top_k(docs, q.limit(0)).count() == 0
+
+
+def test_search_asks_for_documents_too(spark, rows, tmp_path):
+    """Every document whose id 50 divides is a query against all, as every benchmark item is; long queries are scored exactly."""
+    rng = random.Random(9)
+    words = [f"w{int(rng.paretovariate(0.6))}" for _ in range(3000)]
+    data = [(i, t) for i, t, *_ in rows] + [(k, " ".join(rng.choices(words, k=rng.randint(1, 300)))) for k in range(10_000, 10_400)] + [(10_401, None), (10_450, None)]
+    items = [(1, "only one"), (50, data[-9][1])]
+    spark.createDataFrame(data, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    asked = [("documents", i, t) for i, t in data if i is not None and i % 50 == 0]
+    assert len(asked) > 8 and max(len(set(search.words(t))) for *_, t in asked) > search.PRUNED_TERMS
+    want = [(kind, *r) for kind, q in (("benchmark", items), ("documents", [x[1:] for x in asked])) for r in brute.top_k(data, q, search.TOP)]
+    got = search.op10(spark, str(tmp_path)).select("asked", "item_id", "doc_id", "rank", "score").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
