@@ -6,7 +6,12 @@ full, the chain of segments that begins with the key must stay, segment by segme
 bits it spans. By the pigeonring theorem some chain of every pair within the budget does; as only chains that begin with
 an equal key are tried, their budgets have SLACK bits more.
 
-The search is approximate: a pair that shares no key, or none whose chain holds, is missed. Recall is measured in the tests and the README.
+That search is approximate: a pair that shares no key, or none whose chain holds, is missed. So a second one, exact,
+follows for the hashes that aren't connected yet. The bits are cut into segments with radii whose sum is less than the budget
+by one less than their number, so a pair within the budget is within the radius in some segment; of every segment all keys
+within the radius are looked up. Blocks of hashes meet on a grid, so its work grows with the square of the hashes, if by a
+small share of their pairs.
+
 The width of the keys follows the number of hashes, and the number of orders follows the width, so that a key has few
 chance members and recall is the same at any size. No key's group is capped: a group is searched from member to member
 among those not reached yet, so a group of thousands of copies gives thousands of edges, not millions, and takes as many
@@ -39,6 +44,10 @@ KEY_BITS, KEY_BITS_MOST, KEYS = 20, 28, 60
 MATES = 256
 #: Groups of up to so many are compared all at once.
 SMALL = 16
+#: The radius of the exact search's segments; the widest key of one; hashes of a block at most, and fewest blocks (for enough tasks).
+RADIUS, WIDEST, BLOCK, BLOCKS = 2, 22, 1 << 19, 6
+#: Ranges longer than this are looked through for those connected already; candidates compared at once.
+LONG, AT_ONCE = 32, 1 << 20
 #: Words whose bits a worker remembers.
 CACHE = 150_000
 _WORD = re.compile(r"\w+")
@@ -251,6 +260,108 @@ def _keys(batches, key_bits: int, orders: int):
                 yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0), turned], names=["key", "node", "sig"])
 
 
+def segments(budget: int) -> list[tuple[int, int, int]]:
+    """(first bit, bits, radius) of segments in one of which every pair within the budget is within the radius.
+
+    A pair that is within it in none differs in the sum of (radius + 1) bits at least: in more than the budget.
+    """
+    radii = [RADIUS] * (budget // (RADIUS + 1)) + [budget % (RADIUS + 1)]
+    # Narrower where fewer bits may differ: about as many chance candidates each.
+    shares = [3 + r for r in radii]
+    ends = [BITS * sum(shares[: i + 1]) // sum(shares) for i in range(len(radii))]
+    return [(a, min(z - a, WIDEST), r) for a, z, r in zip([0, *ends], ends, radii)]
+
+
+def _key(words, at: int, bits: int):
+    """Bits from ``at`` on as a number."""
+    import numpy as np
+
+    byte = min(at // 8, BYTES - 4)
+    four = np.ascontiguousarray(words.view(np.uint8).reshape(-1, BYTES)[:, byte : byte + 4]).view(">u4").ravel().astype(np.int64)
+    return (four >> (32 - (at - 8 * byte) - bits)) & ((1 << bits) - 1)
+
+
+def links(a, a_label, b, b_label, budget: int) -> set[tuple[int, int]]:
+    """Pairs of different labels of rows of ``a`` and ``b`` (n x 4 words) that are within the budget: all of them, exactly."""
+    import itertools
+
+    import numpy as np
+
+    out: set[tuple[int, int]] = set()
+    n_labels = int(max(a_label.max(), b_label.max())) + 1
+
+    def compare(rows, lo, n):
+        """Rows of ``b`` with ``n`` rows of ``a`` each, from ``lo`` on."""
+        rows, lo, n = rows[n > 0], lo[n > 0], n[n > 0]
+        while len(n):
+            # As many ranges as fit; of one that is too long a part.
+            total = np.cumsum(n)
+            upto = max(1, int(np.searchsorted(total, AT_ONCE, "right")))
+            size = np.minimum(n[:upto], AT_ONCE)
+            x = np.repeat(lo[:upto] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            y = np.repeat(rows[:upto], size)
+            ok = np.flatnonzero((sa_label[x] != sb_label[y]) & (np.bitwise_count(sa[x, 0] ^ sb[y, 0]) + np.bitwise_count(sa[x, 1] ^ sb[y, 1]) <= budget))
+            x, y = x[ok], y[ok]
+            ok = np.bitwise_count(sa[x] ^ sb[y]).sum(1, dtype=np.uint16) <= budget
+            pairs = np.unique(sa_label[x[ok]] * n_labels + sb_label[y[ok]])
+            out.update(zip((pairs // n_labels).tolist(), (pairs % n_labels).tolist()))
+            rest = int(n[0] - size[0]) if upto == 1 else 0
+            if rest:
+                lo, n = lo.copy(), n.copy()
+                lo[0], n[0] = lo[0] + size[0], rest
+            else:
+                rows, lo, n = rows[upto:], lo[upto:], n[upto:]
+
+    for at, bits, radius in segments(budget):
+        a_key, b_key = _key(a, at, bits), _key(b, at, bits)
+        by, of = np.lexsort((a_label, a_key)), np.argsort(b_key, kind="stable")
+        sa, sa_label, sb, sb_label, b_key = a[by], a_label[by], b[of], b_label[of], b_key[of]
+        both = a_key[by] * n_labels + sa_label
+        start = np.concatenate([[0], np.cumsum(np.bincount(a_key, minlength=1 << bits))])
+        for r in range(min(radius, bits) + 1):
+            for flipped in itertools.combinations(range(bits), r):
+                key = b_key ^ sum(1 << i for i in flipped)
+                lo = start[key]
+                n = start[key + 1] - lo
+                rows = np.flatnonzero(n)
+                lo, n, key = lo[rows], n[rows], key[rows]
+                many = n > LONG
+                if many.any():
+                    # Less those of the row's own label, which lie together.
+                    own = key[many] * n_labels + sb_label[rows[many]]
+                    first, last = np.searchsorted(both, own), np.searchsorted(both, own, "right")
+                    compare(rows[many], lo[many], first - lo[many])
+                    compare(rows[many], last, lo[many] + n[many] - last)
+                    rows, lo, n = rows[~many], lo[~many], n[~many]
+                compare(rows, lo, n)
+    return out
+
+
+def missed(labelled: DataFrame, budget: int, n: int) -> DataFrame:
+    """(a, b): labels that near-duplicates among the ``n`` rows of ``labelled`` (label long, sig) connect, besides equal labels; exact."""
+    n_blocks = max(BLOCKS, -(-n // BLOCK))
+    cells = n_blocks * (n_blocks + 1) // 2
+    block, other = F.pmod(F.xxhash64("sig"), F.lit(n_blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("other")
+    rows = labelled.select("label", "sig", block.alias("block"), other)
+    rows = rows.select((F.least("block", "other") * n_blocks + F.greatest("block", "other")).alias("cell"), "block", "label", "sig")
+    parts = max(cells, int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def run(key, table):
+        import numpy as np
+
+        table = table.combine_chunks()
+        names, label = np.unique(table["label"].to_numpy(), return_inverse=True)
+        words, block = _words(table["sig"].combine_chunks()), table["block"].to_numpy()
+        first, last = divmod(key[0].as_py(), n_blocks)
+        a, b = block == first, block == last
+        found = links(words[a], label[a], words[b], label[b], budget) if a.any() and b.any() else ()
+        x, y = (names[np.array([p[i] for p in found], np.int64)] for i in (0, 1))
+        return pa.table({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
+
+    # Numbered partitions aren't joined, so cells are tasks.
+    return rows.repartition(parts, "cell").groupBy("cell").applyInArrow(run, "a long, b long")
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root): the least node of each connected part, for every node of ``pairs`` (a, b).
 
@@ -278,8 +389,8 @@ def groups(docs: DataFrame, budget: int = BUDGET, *, id_col: str = "doc_id", tex
     """(id, keeper) of every document that has a near-duplicate; the keeper is the least id of its group.
 
     Ids may be of any type that has an order. Null ids, and texts without a word (null, empty, only signs), are in no
-    group. Rows of one id count as that document's; its hashes join. Equal texts, however many, are one hash. Groups are
-    closed: near-duplicates of near-duplicates are in one. Texts are read whole, however long. An empty table gives no
+    group. Rows of one id count as that document's; its hashes join. Equal texts, however many, are one hash. No pair
+    of hashes within the budget is missed. Groups are closed: near-duplicates of near-duplicates are in one. Texts are read whole, however long. An empty table gives no
     rows; other columns, whatever their names, are ignored.
     """
     kind = docs.schema[id_col].dataType
@@ -299,6 +410,10 @@ def groups(docs: DataFrame, budget: int = BUDGET, *, id_col: str = "doc_id", tex
     several = rows.groupBy("id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("id", "lo")
     same = rows.join(several, "id").filter("node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b"))
     parts = components(near.unionByName(same)).select(F.col("node").alias("member"), "root")
+    labelled = distinct.join(parts, F.col("node") == F.col("member"), "left").select(F.coalesce("root", "node").alias("label"), "sig")
+    more = written(missed(labelled, budget, n).distinct())
+    if not more.isEmpty():
+        parts = components(more.unionByName(parts.select(F.col("member").alias("a"), F.col("root").alias("b")))).select(F.col("node").alias("member"), "root")
     out = rows.join(parts, F.col("node") == F.col("member"), "left").filter("copied or root is not null").select("id", F.coalesce("root", "node").alias("keeper")).distinct()
     if whole:
         return out.select(F.col("id").cast(kind), F.col("keeper").cast(kind))
