@@ -1,11 +1,12 @@
-"""Exact top-k search (BM25) over forward indexes: block-at-a-time pruning for short queries, whole scoring for long ones.
+"""Exact top-k search (BM25) over inverted indexes: block-at-a-time pruning for short queries, whole scoring for long ones.
 
-Documents are indexed once: cut, as they are stored, into blocks of a fixed number, of each document its words' hashes with
-their counts. With the corpus's statistics a block's largest contribution of each term is known, and a short query's bound
-for a block is the sum over its terms. For every short query blocks are taken in order of falling bounds and scored through
-their forward index until the bound falls below the kth score. Bounds of long queries, such as whole documents, hardly ever
-fall below it; these are scored against every document, the most frequent terms by a product of matrices and the others by
-inverted lists. Nothing is sorted or shuffled but the k best of each query and task.
+Documents are indexed once: cut, as they are stored, into parts, of each part its words' hashes in order with the documents
+that have them and their counts. So no pass over the queries sorts postings again or looks one up by its hash. Documents of
+a part are cut into blocks of a fixed number. With the corpus's statistics a block's largest contribution of each term is
+known, and a short query's bound for a block is the sum over its terms. For every short query blocks are taken in order of
+falling bounds and scored by document until the bound falls below the kth score. Bounds of long queries, such as whole
+documents, hardly ever fall below it; these are scored against every document, the terms that cost most by a product of
+matrices and the others by inverted lists. Nothing is shuffled but the k best of each query and task.
 
 Contributions are whole millionths, so bounds and scores add up exactly in any order (in doubles too, below 2^53) and ties
 are true ties. Words are told apart by hashes of 64 bits.
@@ -14,7 +15,8 @@ are true ties. Words are told apart by hashes of 64 bits.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from array import array
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,10 +27,14 @@ from . import common
 from .common import written
 
 K1, B, UNIT = 1.2, 0.75, 1_000_000
-#: Documents of a block; blocks, and (about) postings, that a task holds at once. Small blocks have bounds near their
-#: documents' scores: of blocks of 256 documents of prose nearly all must be scored, of these a third.
-BLOCK, HELD, HELD_TERMS = 8, 4096, 2_000_000
-#: Queries of more different terms are scored whole; so many of the most frequent terms as a matrix, for so many queries at once.
+#: Documents of a block. Small blocks have bounds near their documents' scores: of blocks of 256 documents of prose nearly
+#: all must be scored, of these a third.
+BLOCK = 8
+#: A short query's bounds are taken where its terms have more than so many times as many documents as blocks; else it is scored whole.
+WORTH = 4
+#: A part, which a task holds at once, ends with the document that brings it to so many words, different words or documents.
+HELD, HELD_WORDS, HELD_DOCS = 5_000_000, 500_000, 32_768
+#: Queries of more different terms are scored whole; so many of the terms that cost most as a matrix, for so many queries at once.
 PRUNED_TERMS, DENSE, AT_ONCE = 32, 256, 64
 #: The most query terms that are sent to the workers at once; more queries are searched in several passes.
 SLICE_TERMS = 1_000_000
@@ -63,33 +69,45 @@ class Queries:
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for every block: its documents' ids and lengths, and how many terms each one has; terms' hashes and counts."""
+    """A row for every part: its documents' ids and lengths; its terms' hashes in order, and in how many documents each is; by term, then document, the postings' documents and counts."""
     import numpy as np
 
+    def row():
+        n = len(lengths)
+        hashes, rank = np.unique(np.fromiter(map(_hash, known), np.int64, len(known)), return_inverse=True)
+        keys = rank[np.frombuffer(numbers, np.int32)] * n + np.repeat(np.arange(n), np.asarray(lengths, np.int64))
+        keys.sort()
+        first = np.flatnonzero(np.concatenate([[True], np.diff(keys) != 0])) if n else keys
+        counts = np.diff(np.append(first, len(keys)))
+        term, doc = np.divmod(keys[first], max(n, 1))
+        packed = hashes, *(x.astype(np.int32) for x in (np.bincount(term, minlength=len(hashes)), doc, counts, np.asarray(lengths)))
+        values = [pa.array([x], pa.int64()) for x in (n_docs, len(numbers))]
+        values.append(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.concat_arrays(ids)))
+        return pa.RecordBatch.from_arrays([*values, *(pa.array([x.tobytes()], pa.binary()) for x in packed)], names=["n_docs", "n_tokens", "ids", "terms", "sizes", "docs", "counts", "lengths"])
+
+    n_docs = 0
     for b in batches:
-        texts = b.column(1).to_pylist()
-        out: list[list] = [[] for _ in range(7)]
-        offsets, kept = [0], []
-        for lo in range(0, b.num_rows, BLOCK):
-            lengths, sizes, terms, counts, n_tokens = [], [], [], [], 0
-            part = texts[lo : lo + BLOCK]
-            for r, t in enumerate(part):
-                all_of = words(t)
-                if all_of:
-                    each = Counter(all_of)
-                    n_tokens += len(all_of)
-                    kept.append(lo + r)
-                    lengths.append(len(all_of))
-                    sizes.append(len(each))
-                    terms.extend(map(_hash, each))
-                    counts.extend(each.values())
-            offsets.append(len(kept))
-            packed = [np.asarray(terms, np.int64), *(np.asarray(x, np.int32) for x in (lengths, sizes, counts))]
-            for column, x in zip(out, [len(part), n_tokens, len(terms), *(x.tobytes() for x in packed)]):
-                column.append(x)
-        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), b.column(0).take(pa.array(kept, pa.int64())))
-        n_docs, n_tokens, n_terms, *packed = out[:7]
-        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (n_docs, n_tokens, n_terms)), ids, *(pa.array(x, pa.binary()) for x in packed)], names=["n_docs", "n_tokens", "n_terms", "ids", "terms", "lengths", "sizes", "counts"])
+        kept: list[int] = []
+        for r, text in enumerate(b.column(1).to_pylist()):
+            if not n_docs:
+                # Of each word of the part its number.
+                known: defaultdict[str, int] = defaultdict()
+                known.default_factory = known.__len__
+                numbers, lengths, ids = array("i"), [], []
+            n_docs += 1
+            all_of = words(text)
+            if all_of:
+                numbers.extend(map(known.__getitem__, all_of))
+                lengths.append(len(all_of))
+                kept.append(r)
+            if len(numbers) >= HELD or len(known) >= HELD_WORDS or n_docs >= HELD_DOCS:
+                ids.append(b.column(0).take(pa.array(kept, pa.int64())))
+                yield row()
+                n_docs, kept = 0, []
+        if n_docs:
+            ids.append(b.column(0).take(pa.array(kept, pa.int64())))
+    if n_docs:
+        yield row()
 
 
 def _number(raw: bytes, hashes):
@@ -108,75 +126,95 @@ def _frequencies(batches: Iterator[pa.RecordBatch], hashes) -> Iterator[pa.Recor
 
     df = np.zeros(len(hashes), np.int64)
     for b in batches:
-        for x in b.column(0):
-            np.add.at(df, _number(x.as_py(), hashes)[1], 1)
+        for terms, sizes in zip(b.column(0), b.column(1)):
+            known, number = _number(terms.as_py(), hashes)
+            df[number] += np.frombuffer(sizes.as_py(), np.int32)[known]
     at = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["term", "df"])
 
 
-def _ranges(starts, sizes):
-    """The numbers of ranges, one after another."""
+def _ranges(starts, sizes, upto):
+    """The numbers of ranges, one after another; ``upto`` has the numbers from 0 on, as to make them anew takes longest."""
     import numpy as np
 
-    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+    out = np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+    out += upto[: len(out)]
+    return out
 
 
 class Part:
-    """Blocks with every posting's contribution, by document and by term."""
+    """A part's documents with every posting's contribution, by term; of the terms ``pruned`` also by document and by block."""
 
-    def __init__(self, rows: list[dict], hashes, idf, mean_length: float):
+    def __init__(self, row: dict, hashes, idf, mean_length: float, pruned):
         import numpy as np
 
-        joined = lambda c, kind: np.frombuffer(b"".join(r[c] for r in rows), kind)
-        lengths, sizes, counts = (joined(c, np.int32) for c in ("lengths", "sizes", "counts"))
-        self.ids = [i for r in rows for i in r["ids"]]
-        self.n_docs, self.n_blocks = len(self.ids), len(rows)
-        known, self.term = _number(b"".join(r["terms"] for r in rows), hashes)
-        self.doc = np.repeat(np.arange(self.n_docs), sizes)[known]
+        sizes, docs, counts, lengths = (np.frombuffer(row[c], np.int32) for c in ("sizes", "docs", "counts", "lengths"))
+        self.ids = row["ids"]
+        self.n_docs = len(self.ids)
+        self.n_blocks = -(-self.n_docs // BLOCK)
+        known, number = _number(row["terms"], hashes)
+        self.start, self.size = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        self.start[number], self.size[number] = (np.cumsum(sizes) - sizes)[known], sizes[known]
+        weight = np.zeros(len(sizes))
+        weight[known] = idf[number]
         norm = K1 * (1 - B + B * lengths / mean_length)
-        tf = counts[known].astype(np.float64)
-        self.gain = np.floor(idf[self.term] * (tf * (K1 + 1) / (tf + norm[self.doc])) * UNIT + 0.5)
-        block_of = np.repeat(np.arange(self.n_blocks), [len(r["ids"]) for r in rows])
-        block = block_of[self.doc]
-        self.block_start = np.searchsorted(block, np.arange(self.n_blocks + 1))
-        # By term, then document.
-        order = np.argsort(self.term, kind="stable")
-        self.by_doc, self.by_gain = self.doc[order], self.gain[order]
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(self.term, minlength=len(hashes)))])
-        # By term, then block: the largest contribution.
-        term, block = self.term[order], block[order]
-        first = np.flatnonzero(np.concatenate([[True], (np.diff(term) != 0) | (np.diff(block) != 0)])) if len(order) else order
-        self.max_block, self.max_gain = block[first], np.maximum.reduceat(self.by_gain, first) if len(first) else self.by_gain
-        self.max_start = np.concatenate([[0], np.cumsum(np.bincount(term[first], minlength=len(hashes)))])
-
-    def _sum(self, start, at, gain, n: int, terms, counts):
+        self.doc, tf = docs.astype(np.int64), counts.astype(np.float64)
+        self.gain = np.floor(np.repeat(weight, sizes) * (tf * (K1 + 1) / (tf + norm[self.doc])) * UNIT + 0.5)
+        self.upto = np.arange(len(self.doc))
+        # Of the pruned terms, by term, then block: the largest contribution.
+        sizes = self.size[pruned]
+        x = _ranges(self.start[pruned], sizes, self.upto)
+        term, doc, gain = np.repeat(pruned, sizes), self.doc[x], self.gain[x]
+        block = doc // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(term) != 0) | (np.diff(block) != 0)])) if len(x) else x
+        self.max_block, self.max_gain = block[first], np.maximum.reduceat(gain, first) if len(x) else gain
+        self.max_size = np.bincount(term[first], minlength=len(hashes))
+        self.max_start = np.cumsum(self.max_size) - self.max_size
+        # By document.
+        order = np.argsort(doc, kind="stable")
+        self.of_doc, self.of_term, self.of_gain = doc[order], term[order], gain[order]
+        self.block_start = np.searchsorted(self.of_doc, np.arange(self.n_blocks + 1) * BLOCK)
+
+    def _sum(self, start, size, at, gain, n: int, terms, counts):
         import numpy as np
 
-        sizes = start[terms + 1] - start[terms]
-        x = _ranges(start[terms], sizes)
-        return np.bincount(at[x], gain[x] * np.repeat(counts, sizes), n)
+        sizes = size[terms]
+        x = _ranges(start[terms], sizes, self.upto)
+        gains = gain[x]
+        if len(counts) and counts.max() > 1:
+            gains *= np.repeat(counts, sizes)
+        return np.bincount(at[x], gains, n)
 
     def bounds(self, terms, counts):
-        return self._sum(self.max_start, self.max_block, self.max_gain, self.n_blocks, terms, counts)
+        return self._sum(self.max_start, self.max_size, self.max_block, self.max_gain, self.n_blocks, terms, counts)
 
     def scores(self, terms, counts):
-        return self._sum(self.start, self.by_doc, self.by_gain, self.n_docs, terms, counts)
+        return self._sum(self.start, self.size, self.doc, self.gain, self.n_docs, terms, counts)
+
+    def worth_bounds(self, terms) -> bool:
+        """Whether bounds take so much less than scores that blocks may be worth to be left out."""
+        return self.size[terms].sum() > WORTH * self.max_size[terms].sum()
 
     def scores_of(self, blocks, weights):
-        """Scores of these blocks' documents, by the forward index; ``weights`` has the query's count of each term."""
+        """These blocks' documents and their scores; ``weights`` has the query's count of each term."""
         import numpy as np
 
-        x = _ranges(self.block_start[blocks], self.block_start[blocks + 1] - self.block_start[blocks])
-        return np.bincount(self.doc[x], self.gain[x] * weights[self.term[x]], self.n_docs)
+        sizes = self.block_start[blocks + 1] - self.block_start[blocks]
+        x = _ranges(self.block_start[blocks], sizes, self.upto)
+        at = self.of_doc[x] % BLOCK + np.repeat(np.arange(len(blocks)) * BLOCK, sizes)
+        docs = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        return docs, np.bincount(at, self.of_gain[x] * weights[self.of_term[x]], len(docs))
 
-    def dense(self):
-        """The most frequent terms, and a matrix of them and the documents."""
+    def dense(self, asked):
+        """The terms whose lists cost most (``asked`` has by how many queries each is asked for), and a matrix of them and the documents."""
         import numpy as np
 
-        common = np.argsort(-np.diff(self.start), kind="stable")[:DENSE]
+        cost = self.size * asked
+        common = np.argsort(-cost, kind="stable")[:DENSE]
+        common = common[cost[common] > 0]
         out = np.zeros((len(common), self.n_docs))
-        for row, t in enumerate(common):
-            out[row, self.by_doc[self.start[t] : self.start[t + 1]]] = self.by_gain[self.start[t] : self.start[t + 1]]
+        for row, (lo, n) in enumerate(zip(self.start[common], self.size[common])):
+            out[row, self.doc[lo : lo + n]] = self.gain[lo : lo + n]
         return common, out
 
 
@@ -186,15 +224,17 @@ class Best:
     def __init__(self, k: int):
         self.k, self.floor, self.held = k, 1, []
 
-    def add(self, ids: list, scores) -> None:
+    def add(self, ids: list, scores, docs=None) -> None:
+        """Documents with these scores: all of ``ids`` in order, or those of the numbers ``docs``."""
         import numpy as np
 
-        at = np.flatnonzero(scores >= self.floor)
-        if len(at) > self.k:
-            some = scores[at]
-            at = at[some >= np.partition(some, len(at) - self.k)[len(at) - self.k]]
+        at = scores >= self.floor
+        if np.count_nonzero(at) > self.k:
+            at = scores >= np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
+        at = np.flatnonzero(at)
         if len(at):
-            self.held = sorted([*self.held, *((int(scores[i]), ids[i]) for i in at)], key=_order)[: self.k]
+            found = zip(scores[at].tolist(), (at if docs is None else docs[at]).tolist())
+            self.held = sorted([*self.held, *((int(score), ids[i]) for score, i in found)], key=_order)[: self.k]
             if len(self.held) == self.k:
                 self.floor = max(self.floor, self.held[-1][0])
 
@@ -203,20 +243,7 @@ def _order(x: tuple) -> tuple:
     return -x[0], x[1] is not None, x[1] if x[1] is not None else 0
 
 
-def _held(batches: Iterator[pa.RecordBatch], hashes, idf, mean_length: float) -> Iterator[Part]:
-    part, n = [], 0
-    for b in batches:
-        for i in range(b.num_rows):
-            part.append(b.slice(i, 1).to_pylist()[0])
-            n += part[-1]["n_terms"]
-            if len(part) == HELD or n >= HELD_TERMS:
-                yield Part(part, hashes, idf, mean_length)
-                part, n = [], 0
-    if part:
-        yield Part(part, hashes, idf, mean_length)
-
-
-def _slice(blocks: DataFrame, queries: Queries, k: int, kind, n_docs: int, n_tokens: int) -> DataFrame:
+def _slice(parts: DataFrame, queries: Queries, k: int, kind, n_docs: int, n_tokens: int, counted: bool) -> DataFrame:
     """(query, doc, score) of the k best of each task, numbers of ``queries`` for queries; under SCORED and BLOCKS, sums."""
     import numpy as np
     from pyspark.sql.pandas.types import to_arrow_type
@@ -224,20 +251,29 @@ def _slice(blocks: DataFrame, queries: Queries, k: int, kind, n_docs: int, n_tok
     hashes = queries.hashes
     df = np.zeros(len(hashes), np.float64)
     # A row for each query term at most.
-    for r in blocks.select("terms").mapInArrow(lambda it: _frequencies(it, hashes), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
+    for r in parts.select("terms", "sizes").mapInArrow(lambda it: _frequencies(it, hashes), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
         df[r["term"]] = r["df"]
     idf, mean_length = np.log(1 + (n_docs - df + 0.5) / (df + 0.5)), n_tokens / n_docs
     id_type = to_arrow_type(kind)
     short = [q for q, (terms, _) in enumerate(queries.terms) if 0 < len(terms) <= PRUNED_TERMS]
     long = [q for q, (terms, _) in enumerate(queries.terms) if len(terms) > PRUNED_TERMS]
+    pruned = np.unique(np.concatenate([queries.terms[q][0] for q in short])) if short else np.zeros(0, np.int32)
+    asked_by = np.bincount(np.concatenate([queries.terms[q][0] for q in long]), minlength=len(hashes)) if long else None
 
     def search(batches):
         best = [Best(k) for _ in queries.terms]
         scored = blocks_in = 0
         weights = np.zeros(len(hashes))
-        for part in _held(batches, hashes, idf, mean_length):
+        rows = (row for b in batches for i in range(b.num_rows) for row in b.slice(i, 1).to_pylist())
+        for part in (Part(row, hashes, idf, mean_length, pruned) for row in rows if row["ids"]):
             for q in short:
                 terms, counts = queries.terms[q]
+                if not part.worth_bounds(terms):
+                    scores = part.scores(terms, counts)
+                    best[q].add(part.ids, scores)
+                    n = len(np.unique(np.flatnonzero(scores) // BLOCK)) if counted else 0
+                    scored, blocks_in = scored + n, blocks_in + n
+                    continue
                 bounds = part.bounds(terms, counts)
                 blocks_in += int((bounds > 0).sum())
                 order = np.argsort(-bounds, kind="stable")
@@ -250,12 +286,13 @@ def _slice(blocks: DataFrame, queries: Queries, k: int, kind, n_docs: int, n_tok
                     if not len(some):
                         break
                     scored += len(some)
-                    best[q].add(part.ids, part.scores_of(some, weights))
+                    docs, scores = part.scores_of(some, weights)
+                    best[q].add(part.ids, scores, docs)
                     at, size = at + size, 2 * size
                 weights[terms] = 0
             if not long:
                 continue
-            common, matrix = part.dense()
+            common, matrix = part.dense(asked_by)
             rare = np.ones(len(hashes), bool)
             rare[common] = False
             for lo in range(0, len(long), AT_ONCE):
@@ -274,7 +311,7 @@ def _slice(blocks: DataFrame, queries: Queries, k: int, kind, n_docs: int, n_tok
         rows += [(SCORED, None, scored), (BLOCKS, None, blocks_in)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], id_type), pa.array([r[2] for r in rows], pa.int64())], names=["query", "doc", "score"])
 
-    return blocks.mapInArrow(search, f"query int, doc {kind.simpleString()}, score long")
+    return parts.mapInArrow(search, f"query int, doc {kind.simpleString()}, score long")
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str = "doc_id", text_col: str = "text", query_id_col: str = "item_id", query_text_col: str = "text", report: dict[str, int] | None = None) -> DataFrame:
@@ -302,14 +339,14 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str = "do
     if not total:
         return out
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    blocks = written(texts.mapInArrow(_index, f"n_docs long, n_tokens long, n_terms long, ids array<{doc_kind}>, terms binary, lengths binary, sizes binary, counts binary"))
-    n_docs, n_tokens = blocks.agg(F.sum("n_docs"), F.sum("n_tokens")).first()
+    parts = written(texts.mapInArrow(_index, f"n_docs long, n_tokens long, ids array<{doc_kind}>, terms binary, sizes binary, docs binary, counts binary, lengths binary"))
+    n_docs, n_tokens = parts.agg(F.sum("n_docs"), F.sum("n_tokens")).first()
     for p in range(passes if n_tokens else 0):
         rows = asked.filter(F.pmod(F.xxhash64("id", "text"), F.lit(passes)) == p).collect()
         q = Queries([(r["id"], r["text"]) for r in rows])
         if not len(q.hashes):
             continue
-        found = written(_slice(blocks, q, k, docs.schema[id_col].dataType, n_docs, n_tokens))
+        found = written(_slice(parts, q, k, docs.schema[id_col].dataType, n_docs, n_tokens, report is not None))
         for r in found.filter("query < 0").groupBy("query").agg(F.sum("score").alias("n")).collect() if report is not None else ():
             name = "scored" if r["query"] == SCORED else "blocks"
             report[name] = report.get(name, 0) + r["n"]

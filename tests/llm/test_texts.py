@@ -605,3 +605,43 @@ def test_search_asks_for_documents_too(spark, rows, tmp_path):
     want = [(kind, *r) for kind, q in (("benchmark", items), ("documents", [x[1:] for x in asked])) for r in brute.top_k(data, q, search.TOP)]
     got = search.op10(spark, str(tmp_path)).select("asked", "item_id", "doc_id", "rank", "score").collect()
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("held", [40, 10**6])
+def test_passes_look_up_words_and_not_postings(monkeypatch, rows, held):
+    """A part of the index has each word once, so a pass's work by hash doesn't grow with the documents; parts end anywhere and lose nothing."""
+    import numpy as np
+    import pyarrow as pa
+
+    data = [(k, f"a b{k % 3} " + "c " * (k % 4)) for k in range(300)] + [(i, t) for i, t, *_ in rows] + [(-1, None), (-2, "")]
+    batches = pa.table({"id": pa.array([i for i, _ in data], pa.int64()), "text": [t for _, t in data]}).to_batches(max_chunksize=70)
+    monkeypatch.setattr(search, "HELD", held)
+    index = list(search._index(iter(batches)))
+    assert len(index) == 1 if held == 10**6 else len(index) > 10
+    parts = [r for b in index for r in b.to_pylist()]
+    for r in parts:
+        hashes = np.frombuffer(r["terms"], np.int64)
+        assert (hashes[1:] > hashes[:-1]).all() and len(r["docs"]) == 4 * np.frombuffer(r["sizes"], np.int32).sum()
+    assert sum(r["n_docs"] for r in parts) == len(data) and sum(r["n_tokens"] for r in parts) == sum(len(search.words(t)) for _, t in data)
+    assert Counter(i for r in parts for i in r["ids"]) == Counter(i for i, t in data if search.words(t))
+    queries = [(1, "a b1 c"), (2, "b2 only one"), (3, "c c one"), (4, "nowhere")]
+    q = search.Queries(queries)
+    df = np.zeros(len(q.hashes))
+    for b in index:
+        for f in search._frequencies(iter([b.select(["terms", "sizes"])]), q.hashes):
+            df[f.column(0).to_numpy()] += f.column(1).to_numpy()
+    idf, mean = np.log(1 + (len(data) - df + 0.5) / (df + 0.5)), sum(r["n_tokens"] for r in parts) / len(data)
+    best = [[search.Best(7) for _ in queries] for _ in range(2)]
+    for r in parts:
+        part = search.Part(r, q.hashes, idf, mean, np.arange(len(q.hashes), dtype=np.int32))
+        for (terms, counts), whole, by_block in zip(q.terms, *best):
+            whole.add(part.ids, part.scores(terms, counts))
+            weights = np.zeros(len(q.hashes))
+            weights[terms] = counts
+            blocks = np.flatnonzero(part.bounds(terms, counts))[::-1]
+            docs, scores = part.scores_of(blocks, weights)
+            by_block.add(part.ids, scores, docs)
+    want = sorted(brute.top_k(data, queries, 7), key=repr)
+    for found in best:
+        got = [(i, doc, rank, score / search.UNIT) for (i, _), b in zip(queries, found) for rank, (score, doc) in enumerate(b.held, 1)]
+        assert sorted(got, key=repr) == want
