@@ -35,14 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, **options) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: a lineage cut that survives lost executors.
 
     The files go when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/sparkloom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)

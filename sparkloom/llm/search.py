@@ -5,8 +5,10 @@ that have them and their counts. So no pass over the queries sorts postings agai
 a part are cut into blocks of a fixed number. With the corpus's statistics a block's largest contribution of each term is
 known, and a short query's bound for a block is the sum over its terms. For every short query blocks are taken in order of
 falling bounds and scored by document until the bound falls below the kth score. Bounds of long queries, such as whole
-documents, hardly ever fall below it; these are scored against every document, the terms that cost most by a product of
-matrices and the others by inverted lists. Nothing is shuffled but the k best of each query and task.
+documents, hardly ever fall below it; these are scored against every document by a product of matrices for the terms that
+cost most, and by inverted lists for the rare ones. Of the terms between, whose lists are long and whose contributions are
+small, a product over blocks gives bounds, and only documents that may still reach the kth score have them added. Nothing is
+shuffled but the k best of each query and task.
 
 Contributions are whole millionths, so bounds and scores add up exactly in any order (in doubles too, below 2^53) and ties
 are true ties. Words are told apart by hashes of 64 bits.
@@ -34,10 +36,15 @@ BLOCK = 8
 WORTH = 4
 #: A part, which a task holds at once, ends with the document that brings it to so many words, different words or documents.
 HELD, HELD_WORDS, HELD_DOCS = 5_000_000, 500_000, 32_768
-#: Queries of more different terms are scored whole; so many of the terms that cost most as a matrix, for so many queries at once.
-PRUNED_TERMS, DENSE, AT_ONCE = 32, 256, 64
+#: Queries of more different terms are scored whole; so many of the terms that cost most as a matrix, and of those that follow
+#: bounds first; for so many queries at once, of which so many go through the inverted lists at once.
+PRUNED_TERMS, DENSE, MIDDLE, AT_ONCE, LISTS_AT_ONCE = 32, 256, 1024, 256, 16
+#: The matrix of the latter has so many numbers at most.
+MIDDLE_NUMBERS = 10_000_000
+#: Sums of 32-bit floats are as right as this for MIDDLE terms, and whole numbers below EXACT are held exactly.
+SLACK, EXACT = 1e-4, 1 << 24
 #: The most query terms that are sent to the workers at once; more queries are searched in several passes.
-SLICE_TERMS = 1_000_000
+SLICE_TERMS = 4_000_000
 #: In place of a query: how many blocks were scored, and how many hold a term of the query, over all short queries.
 SCORED, BLOCKS = -1, -2
 _WORD = re.compile(r"\w+")
@@ -61,11 +68,17 @@ class Queries:
         import numpy as np
 
         self.ids = [i for i, _ in rows]
-        counts = [Counter(words(t)) for _, t in rows]
-        known = {w: _hash(w) for c in counts for w in c}
+        known: dict[str, int] = {}
+        held = []
+        for _, t in rows:
+            c = Counter(words(t))
+            for w in c:
+                if w not in known:
+                    known[w] = _hash(w)
+            held.append((np.fromiter(map(known.__getitem__, c), np.int64, len(c)), np.fromiter(c.values(), np.float64, len(c))))
         self.hashes = np.unique(np.fromiter(known.values(), np.int64, len(known)))
         #: Of each query the terms' numbers and counts.
-        self.terms = [(np.searchsorted(self.hashes, [known[w] for w in c]).astype(np.int32), np.fromiter(c.values(), np.float64, len(c))) for c in counts]
+        self.terms = [(np.searchsorted(self.hashes, of).astype(np.int32), c) for of, c in held]
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,16 +219,98 @@ class Part:
         return docs, np.bincount(at, self.of_gain[x] * weights[self.of_term[x]], len(docs))
 
     def dense(self, asked):
-        """The terms whose lists cost most (``asked`` has by how many queries each is asked for), and a matrix of them and the documents."""
+        """The terms whose lists cost most (``asked`` has by how many queries each is asked for), and a matrix of the documents and them; the same of those that follow, with their largest contributions to each block, here of documents n_blocks apart."""
         import numpy as np
 
         cost = self.size * asked
-        common = np.argsort(-cost, kind="stable")[:DENSE]
-        common = common[cost[common] > 0]
-        out = np.zeros((len(common), self.n_docs))
-        for row, (lo, n) in enumerate(zip(self.start[common], self.size[common])):
-            out[row, self.doc[lo : lo + n]] = self.gain[lo : lo + n]
-        return common, out
+        at = np.argsort(-cost, kind="stable")[: 2 * (DENSE + MIDDLE)]
+        at = at[cost[at] > 0]
+        at = at[[self.gain[lo : lo + n].max() < EXACT for lo, n in zip(self.start[at], self.size[at])]] if len(at) else at
+        # Documents that are missing from the last block have nothing.
+        out = []
+        for terms in (at[:DENSE], at[DENSE : DENSE + min(MIDDLE, MIDDLE_NUMBERS // max(1, self.n_docs))]):
+            sizes = self.size[terms]
+            x = _ranges(self.start[terms], sizes, self.upto)
+            matrix = np.zeros((self.n_blocks * BLOCK, len(terms)), np.float32)
+            matrix[self.doc[x], np.repeat(np.arange(len(terms)), sizes)] = self.gain[x]
+            out += [terms, matrix]
+        return (*out, out[3].reshape(BLOCK, self.n_blocks, -1).max(0))
+
+    def sums(self, queries: list):
+        """A row of scores, over all documents, for each of these (terms, counts)."""
+        import numpy as np
+
+        terms = np.concatenate([t for t, _ in queries])
+        sizes = self.size[terms]
+        ends = np.concatenate([[0], np.cumsum([self.size[t].sum() for t, _ in queries])])
+        x = _ranges(self.start[terms], sizes, self.upto if ends[-1] <= len(self.upto) else np.arange(ends[-1]))
+        docs, gains = self.doc[x], self.gain[x]
+        counts = np.concatenate([c for _, c in queries])
+        if len(counts) and counts.max() > 1:
+            gains *= np.repeat(counts, sizes)
+        return np.array([np.bincount(docs[lo:hi], gains[lo:hi], self.n_blocks * BLOCK) for lo, hi in zip(ends, ends[1:])], np.float64)
+
+
+class Long:
+    """Queries scored against every document of a part. ``completed`` counts the documents whose middle terms were added."""
+
+    def __init__(self, part: Part, asked, n_terms: int):
+        import numpy as np
+
+        self.part = part
+        self.common, self.matrix, self.middle, self.middles, self.most = part.dense(asked)
+        self.rare = np.ones(n_terms, bool)
+        self.rare[self.common] = self.rare[self.middle] = False
+        self.completed = 0
+
+    def search(self, queries: list, best: list[Best]) -> None:
+        """The documents of the part that are among the best for each of these (terms, counts)."""
+        import numpy as np
+
+        weights = np.zeros(len(self.rare), np.float32)
+        asked, between = (np.zeros((len(queries), len(t)), np.float32) for t in (self.common, self.middle))
+        for row, (terms, counts) in enumerate(queries):
+            weights[terms] = counts
+            asked[row], between[row] = weights[self.common], weights[self.middle]
+            weights[terms] = 0
+        products = asked @ self.matrix.T
+        bounds = between @ self.most.T
+        bounds *= 1 + SLACK
+        k, n_blocks = best[0].k, self.part.n_blocks
+        for lo in range(0, len(queries), LISTS_AT_ONCE):
+            rows = slice(lo, lo + LISTS_AT_ONCE)
+            listed = self.part.sums([(t[self.rare[t]], c[self.rare[t]]) for t, c in queries[rows]])
+            # What the middle terms can only add to, by block; they are added to the best documents first, so that the kth score is known.
+            least = (products[rows] + listed).reshape(len(listed), BLOCK, n_blocks)
+            tops = least.max(1)
+            floors = np.array([b.floor for b in best[rows]], np.float64)
+            if n_blocks >= k and any(len(b.held) < k for b in best[rows]):
+                block = np.argpartition(-tops, min(2 * k, n_blocks) - 1, axis=1)[:, : 2 * k]
+                docs = np.take_along_axis(least, block[:, None, :], 2).argmax(1) * n_blocks + block
+                scores = np.take_along_axis(tops, block, 1) + np.matmul(self.middles[docs], between[rows][:, :, None])[:, :, 0]
+                floors = np.maximum(floors, np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k])
+            floors *= 1 - SLACK
+            # Blocks first, then their documents.
+            q, block = np.nonzero(tops + bounds[rows] >= floors[:, None])
+            i, at = np.nonzero(least[q, :, block] >= (floors[q] - bounds[rows][q, block])[:, None])
+            q, doc = q[i], at * n_blocks + block[i]
+            self.completed += len(q)
+            ends = np.searchsorted(q, np.arange(len(listed) + 1))
+            for r in range(len(listed)):
+                docs = doc[ends[r] : ends[r + 1]]
+                if not len(docs):
+                    continue
+                rest = listed[r, docs]
+                known = np.flatnonzero(between[lo + r])
+                if len(known):
+                    rest += self.middles.ravel().take(docs[:, None] * len(self.middle) + known) @ between[lo + r, known].astype(np.float64)
+                near = products[lo + r, docs] + rest
+                floor = floors[r]
+                if len(near) > k:
+                    floor = max(floor, np.partition(near, len(near) - k)[len(near) - k] * (1 - SLACK))
+                left = np.flatnonzero(near >= floor)
+                docs = docs[left]
+                best[lo + r].add(self.part.ids, self.matrix[docs] @ asked[lo + r].astype(np.float64) + rest[left], docs)
 
 
 class Best:
@@ -292,21 +387,10 @@ def _slice(parts: DataFrame, queries: Queries, k: int, kind, n_docs: int, n_toke
                 weights[terms] = 0
             if not long:
                 continue
-            common, matrix = part.dense(asked_by)
-            rare = np.ones(len(hashes), bool)
-            rare[common] = False
+            whole = Long(part, asked_by, len(hashes))
             for lo in range(0, len(long), AT_ONCE):
                 some = long[lo : lo + AT_ONCE]
-                asked = np.zeros((len(some), len(common)))
-                for row, q in enumerate(some):
-                    terms, counts = queries.terms[q]
-                    weights[terms] = counts
-                    asked[row] = weights[common]
-                    weights[terms] = 0
-                for q, scores in zip(some, asked @ matrix):
-                    terms, counts = queries.terms[q]
-                    left = rare[terms]
-                    best[q].add(part.ids, scores + part.scores(terms[left], counts[left]))
+                whole.search([queries.terms[q] for q in some], [best[q] for q in some])
         rows = [(q, doc, score) for q, b in enumerate(best) for score, doc in b.held]
         rows += [(SCORED, None, scored), (BLOCKS, None, blocks_in)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], id_type), pa.array([r[2] for r in rows], pa.int64())], names=["query", "doc", "score"])
@@ -339,7 +423,8 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str = "do
     if not total:
         return out
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    parts = written(texts.mapInArrow(_index, f"n_docs long, n_tokens long, ids array<{doc_kind}>, terms binary, sizes binary, docs binary, counts binary, lengths binary"))
+    # A file for each part: a reader takes a file's rows at once.
+    parts = written(texts.mapInArrow(_index, f"n_docs long, n_tokens long, ids array<{doc_kind}>, terms binary, sizes binary, docs binary, counts binary, lengths binary"), maxRecordsPerFile=1)
     n_docs, n_tokens = parts.agg(F.sum("n_docs"), F.sum("n_tokens")).first()
     for p in range(passes if n_tokens else 0):
         rows = asked.filter(F.pmod(F.xxhash64("id", "text"), F.lit(passes)) == p).collect()

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import brute
-from sparkloom.llm import audio, chat, pii, search, secrets, toxicity
+from sparkloom.llm import audio, chat, common, pii, search, secrets, toxicity
 
 def msg(role, content):
     return dict(role=role, content=content)
@@ -645,3 +645,45 @@ def test_passes_look_up_words_and_not_postings(monkeypatch, rows, held):
     for found in best:
         got = [(i, doc, rank, score / search.UNIT) for (i, _), b in zip(queries, found) for rank, (score, doc) in enumerate(b.held, 1)]
         assert sorted(got, key=repr) == want
+
+
+@pytest.mark.parametrize("dense,middle", [(4, 40), (0, 30), (300, 0), (6, 10**6)])
+def test_long_queries_complete_few_documents(monkeypatch, dense, middle):
+    """Of most documents the long lists are not read, as their bounds don't reach the kth score; the result is that of brute force."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    vocabulary = [f"w{n}" for n in range(20_000)]
+    weights = [1 / (n + 10) for n in range(20_000)]
+    data = [(k, " ".join(rng.choices(vocabulary, weights, k=rng.randint(1, 150)))) for k in range(1501)]
+    # Copies and near copies of each query, so that the kth score is high.
+    data += [(2000 + 100 * n + k, t + " w3 w599" * (n % 2)) for n in range(6) for k, t in data[:60]]
+    queries = [(k, t) for k, t in data[:60] if len(set(t.split())) > search.PRUNED_TERMS]
+    for name, n in {"DENSE": dense, "MIDDLE": middle, "AT_ONCE": 7, "LISTS_AT_ONCE": 3, "BLOCK": 4, "HELD": 60_000}.items():
+        monkeypatch.setattr(search, name, n)
+    batches = pa.table({"id": pa.array([i for i, _ in data], pa.int64()), "text": [t for _, t in data]}).to_batches(max_chunksize=400)
+    parts = [r for b in search._index(iter(batches)) for r in b.to_pylist()]
+    assert len(parts) > 1
+    q = search.Queries(queries)
+    df = np.zeros(len(q.hashes))
+    for r in parts:
+        known, number = search._number(r["terms"], q.hashes)
+        df[number] += np.frombuffer(r["sizes"], np.int32)[known]
+    idf, mean = np.log(1 + (len(data) - df + 0.5) / (df + 0.5)), sum(r["n_tokens"] for r in parts) / len(data)
+    asked = np.bincount(np.concatenate([t for t, _ in q.terms]), minlength=len(q.hashes))
+    best, completed = [search.Best(5) for _ in queries], 0
+    for r in parts:
+        whole = search.Long(search.Part(r, q.hashes, idf, mean, np.zeros(0, np.int32)), asked, len(q.hashes))
+        for lo in range(0, len(queries), search.AT_ONCE):
+            whole.search(q.terms[lo : lo + search.AT_ONCE], best[lo : lo + search.AT_ONCE])
+        completed += whole.completed
+    got = [(i, doc, rank, score / search.UNIT) for (i, _), b in zip(queries, best) for rank, (score, doc) in enumerate(b.held, 1)]
+    assert sorted(got, key=repr) == sorted(brute.top_k(data, queries, 5), key=repr)
+    assert dense != 4 or completed < 0.5 * len(data) * len(queries)
+
+
+def test_an_index_part_is_a_file(spark):
+    """Parquet's reader takes a file's few large rows at once, so they are written apart."""
+    out = common.written(spark.range(5).coalesce(1), maxRecordsPerFile=1)
+    assert len(out.inputFiles()) == 5 and sorted(r.id for r in out.collect()) == list(range(5))
