@@ -4,9 +4,10 @@ Centres are fitted by spherical k-means on a bounded sample of the corpus; every
 cell of its nearest centre. A query is compared, exactly, with all rows of the ``probes`` cells whose centres are nearest to
 it, so distances are exact and only which rows are looked at is approximate. With as many probes as cells nothing is missed.
 
-Both sides are grouped by cell and by salts: a cell that holds very many rows, or that very many queries ask for, is split
-into groups that hold a bounded part of either side, and a group is one matrix product. There is no cross join and no
-broadcast but that of the centres, whose number is bounded.
+Cells are put together into columns of a grid, of bounded parts of the corpus; a cell that holds more is split over several.
+A query is sent once to every column that holds a cell it asks for, however many it asks for there, with a bit for each. So
+what is shuffled grows with the rows times columns and not times ``probes``. There is no cross join and no broadcast but that
+of the centres, whose number is bounded.
 """
 
 from __future__ import annotations
@@ -18,15 +19,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from .knn import _matrix, _unit, best_of, gathered, nearest
+from .knn import PIECE, _matrix, _unit, best_of, gathered, nearest_on_grid, parts_of, piece, rows_of
 
 #: The most centres, and the most rows of the corpus on which they are fitted.
 MOST_CELLS, SAMPLE = 4096, 20_000
-#: Rows of a cell, and queries of a cell, that one task gets.
+#: Rows of the corpus, and queries, of a task below which no further tasks are made.
 CELL_ROWS, CELL_QUERIES = 8192, 4096
 ROUNDS = 10
 #: Rows of the sample whose own neighbours tell how many cells must be looked at.
@@ -73,10 +74,6 @@ def enough_probes(vectors: np.ndarray, centres: np.ndarray, k: int, recall: floa
     return int(ranks[min(len(ranks) - 1, math.ceil(recall * len(ranks)) - 1)]) + 1
 
 
-def _rows(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    return df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id is not null and v is not null")
-
-
 def _by_cell(b: pa.RecordBatch, centres: np.ndarray, probes: int) -> Iterator[tuple[int, np.ndarray, int, np.ndarray]]:
     """(cell, rows of the batch, length, their unit vectors). Vectors of another length than the centres' have a cell for each length."""
     sizes = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
@@ -106,32 +103,72 @@ def _counts(rows: DataFrame, centres: np.ndarray, probes: int) -> dict[int, int]
     return {r["cell"]: r["n"] for r in rows.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
 
 
-def _salted(rows: DataFrame, centres: np.ndarray, probes: int, own: dict[int, int], other: dict[int, int], corpus: bool) -> DataFrame:
-    """Unit vectors keyed by (cell, salt of the corpus, salt of the queries): each is in one of its own side's salts and in all of the other's."""
+def columns_of(counts: dict[int, int], most: int) -> tuple[dict[int, tuple[int, int, int]], list[list[int]]]:
+    """Of every cell its first column, how many columns it is split over, and its number in them; and the cells of each column."""
+    at, cells, held = {}, [], most
+    for cell, n in sorted(counts.items()):
+        if n > most:
+            at[cell] = (len(cells), -(-n // most), 0)
+            cells += [[cell]] * at[cell][1]
+            held = most
+            continue
+        if held + n > most:
+            cells.append([])
+            held = 0
+        at[cell] = (len(cells) - 1, 1, len(cells[-1]))
+        cells[-1].append(cell)
+        held += n
+    return at, cells
+
+
+def _corpus(rows: DataFrame, centres: np.ndarray, at: dict[int, tuple[int, int, int]]) -> DataFrame:
+    """The corpus in pieces, by column, with each row's cell."""
 
     def run(batches):
+        first = TaskContext.get().partitionId()
         for b in gathered(batches):
-            for cell, at, size, x in _by_cell(b, centres, probes):
-                n = other.get(cell, 0)
-                if not n:
-                    continue
-                mine = np.repeat((at + hash(cell)) % own[cell], n).astype(np.int32)
-                theirs = np.tile(np.arange(n, dtype=np.int32), len(at))
-                cs, qs = (mine, theirs) if corpus else (theirs, mine)
-                data, width = np.repeat(x, n, axis=0).tobytes(), 8 * size
-                packed = pa.Array.from_buffers(pa.large_binary(), len(mine), [None, pa.py_buffer(np.arange(len(mine) + 1, dtype=np.int64) * width), pa.py_buffer(data)]).cast(pa.binary())
-                ids = b.column(0).take(pa.array(np.repeat(at, n)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), cell)), pa.array(cs), pa.array(qs), ids, packed], names=["cell", "cs", "qs", "id", "data"])
+            held: dict[tuple[int, int], list] = {}
+            for cell, of, size, x in _by_cell(b, centres, 1):
+                column, split, number = at[cell]
+                for s in range(split):
+                    mine = (np.arange(len(of)) + first) % split == s
+                    held.setdefault((column + s, size), []).append((of[mine], x[mine], np.full(mine.sum(), number, np.int32)))
+                first += len(of)
+            for (column, size), found in held.items():
+                of, x, numbers = (np.concatenate(v) for v in zip(*found))
+                if len(of):
+                    yield piece(b.column(0).take(pa.array(of)), -1, column, size, x, numbers)
+
+    return rows.mapInArrow(run, f"ids array<{rows.schema['id'].dataType.simpleString()}>, {PIECE}")
 
-    return rows.mapInArrow(run, f"cell long, cs int, qs int, id {rows.schema['id'].dataType.simpleString()}, data binary")
 
+def _queries(rows: DataFrame, centres: np.ndarray, probes: int, cells: list[list[int]], parts: int) -> DataFrame:
+    """The queries in pieces, by row and by each column that holds a cell they ask for, with a bit for each cell there."""
 
-def _vectors(t: pa.Table) -> tuple[pa.Array, np.ndarray]:
-    data = t.column("data").combine_chunks()
-    data = data.chunk(0) if isinstance(data, pa.ChunkedArray) else data
-    x = np.frombuffer(b"".join(data.to_pylist())).reshape(len(data), -1)
-    ids = t.column("id").combine_chunks()
-    return ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids, x
+    def run(batches):
+        first = TaskContext.get().partitionId()
+        for b in gathered(batches):
+            sizes = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
+            vectors, place = {}, np.empty(b.num_rows, np.int64)
+            for size in np.unique(sizes):
+                of = np.flatnonzero(sizes == size)
+                place[of] = np.arange(len(of))
+                vectors[size] = _unit(_matrix(b.column(1).take(pa.array(of)))) if size else np.zeros((len(of), 0))
+            asking = {cell: of for cell, of, _, _ in _by_cell(b, centres, probes)}
+            row = (np.arange(b.num_rows) + first) % parts
+            first += b.num_rows
+            for column, here in enumerate(cells):
+                bits = np.zeros((b.num_rows, len(here)), bool)
+                for number, cell in enumerate(here):
+                    bits[asking.get(cell, []), number] = True
+                some = bits.any(1)
+                for size, x in vectors.items():
+                    for r in range(parts):
+                        of = np.flatnonzero(some & (sizes == size) & (row == r))
+                        if len(of):
+                            yield piece(b.column(0).take(pa.array(of)), r, column, int(size), x[place[of]], np.packbits(bits[of], axis=1))
+
+    return rows.mapInArrow(run, f"ids array<{rows.schema['id'].dataType.simpleString()}>, {PIECE}")
 
 
 def knn_approx(
@@ -158,7 +195,7 @@ def knn_approx(
     """
     if k < 0:
         raise ValueError("k must not be negative")
-    q, c = _rows(queries, query_id, query_vector), _rows(corpus, corpus_id, corpus_vector)
+    q, c = rows_of(queries, query_id, query_vector), rows_of(corpus, corpus_id, corpus_vector)
     if cells is None:
         cells = min(MOST_CELLS, max(1, round(c.count() ** 0.5)))
     drawn = c.select("v").orderBy(F.xxhash64("id"), "id").limit(min(sample, 64 * min(cells, MOST_CELLS))).toArrow().column(0)
@@ -168,19 +205,10 @@ def knn_approx(
     x = np.concatenate([_matrix(v.filter(pc.equal(pc.list_value_length(v), size))).reshape(-1, size) for v in drawn.chunks]) if size else np.zeros((0, 0))
     centres = fit(x, min(cells, MOST_CELLS)) if len(x) and size else np.zeros((1, size), np.float32)
     probes = enough_probes(x, centres, k, recall) if probes is None else max(1, probes)
-    c_salts = {cell: -(-n // CELL_ROWS) for cell, n in _counts(c, centres, 1).items()}
-    q_salts = {cell: -(-n // CELL_QUERIES) for cell, n in _counts(q, centres, probes).items()}
-    key = ["cell", "cs", "qs"]
-    left, right = _salted(q, centres, probes, q_salts, c_salts, False).groupBy(*key), _salted(c, centres, 1, c_salts, q_salts, True).groupBy(*key)
-    kinds = [x.schema["id"].dataType for x in (q, c)]
-    empty = pa.table({"query_id": pa.array([], to_arrow_type(kinds[0])), "neighbor_id": pa.array([], to_arrow_type(kinds[1])), "similarity": pa.array([], pa.float64())})
-
-    def search(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return empty
-        found = list(nearest(*_vectors(a), *_vectors(b), k, exclude_same_id))
-        return pa.Table.from_batches(found) if found else empty
-
-    # Groups of either side are bounded, and neither side is broadcast.
-    schema = f"query_id {kinds[0].simpleString()}, neighbor_id {kinds[1].simpleString()}, similarity double"
-    return best_of(left.cogroup(right).applyInArrow(search, schema), k)
+    counts = _counts(c, centres, 1)
+    (n_queries, numbers), n_rows = q.agg(F.count("*"), F.sum(F.size("v"))).first(), sum(counts.values())
+    spark = queries.sparkSession
+    # A split cell's columns and the last of others may be less than full, so that there are twice as many at most.
+    at, of_column = columns_of(counts, max(1, -(-n_rows // parts_of(spark, n_rows, 8 * n_rows * size, CELL_ROWS))))
+    rows = parts_of(spark, n_queries, 8 * (numbers or 0), CELL_QUERIES)
+    return best_of(nearest_on_grid(_queries(q, centres, probes, of_column, rows), _corpus(c, centres, at), rows, max(1, len(of_column)), k, exclude_same_id), k)
