@@ -165,6 +165,44 @@ def test_index_splits_large_cells(spark, monkeypatch):
         ann.knn_approx(df, df, -1)
 
 
+def test_index_sends_a_query_once_to_a_column(spark):
+    """However many cells of a column a query asks for, its vector is sent there once."""
+    import numpy as np
+
+    x = np.random.default_rng(2).normal(size=(400, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    centres = ann.fit(x, 20)
+    at, cells = ann.columns_of(ann._counts(df, centres, 1), 150)
+    assert 3 <= len(cells) <= 5 and sum(map(len, cells)) == len(at) > 15
+    sent = ann._queries(df, centres, 20, cells, 2).selectExpr("sum(size(ids)) n").first()["n"]
+    assert sent == 400 * len(cells)
+
+
+def test_squares_compare_few_exactly():
+    """Most pairs are left out by the product of 32-bit floats; ties, equal ids and vectors that are no numbers are as by brute force."""
+    import numpy as np
+    import pyarrow as pa
+
+    from sparkloom.operators.knn import Nearest, _unit
+
+    rng = np.random.default_rng(1)
+    x = _unit(np.concatenate([rng.normal(size=(3000, 16)), np.repeat(rng.normal(size=(3, 16)), 20, axis=0), np.zeros((4, 16))]))
+    x[7] = np.nan
+    ids = rng.permutation(len(x)) // 2
+    best = Nearest(pa.array(ids[:300]), x[:300], pa.array(ids), x, 4, True)
+    exactly, add = [], best._add
+    best._add = lambda held: (exactly.extend(len(i) for i, _ in held), add(held))
+    best.compare(np.arange(300), np.arange(len(x)))
+    assert sum(exactly) < 0.05 * 300 * len(x)
+    got = {}
+    for q, c, sim in zip(*(c.to_pylist() for c in best.found().columns)):
+        got.setdefault(q, []).append((-sim, c))
+    want = {}
+    for i in range(300):
+        near = [(-s, int(c)) for s, c in zip(np.round(x @ x[i], 9), ids) if np.isfinite(s) and c != ids[i]]
+        want.setdefault(int(ids[i]), []).extend(sorted(near)[:4])
+    assert {q: sorted(v) for q, v in got.items()} == {q: sorted(v) for q, v in want.items() if v}
+
 class Optionals(BaseModel):
     required: str
     text: Optional[str] = None
