@@ -13,9 +13,13 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from ..sources.providers import Client, Provider, client
 from . import schema as S
@@ -24,6 +28,8 @@ from .messages import string_to_message
 
 #: Requests of one batch under way at once.
 CONCURRENCY = 16
+#: Texts, and bytes of them, that are sent on from a batch at once, but as many as there are requests under way in any case.
+HELD_ROWS, HELD_BYTES = 512, 1 << 20
 
 
 def failure(kind: str, details: str, raw: str | None = None) -> str:
@@ -58,20 +64,31 @@ def _answer(c: Client, messages: Sequence[dict[str, str]], schema: dict | None,
     return failure("validation_failed", "; ".join(wrong), out) if wrong else out
 
 
+def _in_turn(values: pa.Array, f: Callable[[str], Any], many: Callable, least: int, kind: pa.DataType) -> pa.Array:
+    """``f`` of every text by ``many``, a few texts at a time, so that beside the batch and its answers little is held; null for null."""
+    done, lo = [], 0
+    ends = np.cumsum(pc.binary_length(values).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    while lo < len(values):
+        within = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + HELD_BYTES, "right"))
+        hi = min(lo + HELD_ROWS, max(lo + least, within), len(values))
+        texts = values.slice(lo, hi - lo).to_pylist()
+        answers = iter(many(f, [t for t in texts if t is not None]))
+        done.append(pa.array([None if t is None else next(answers) for t in texts], kind))
+        lo = hi
+    return pa.concat_arrays(done) if done else pa.array([], kind)
+
+
 def _calls(x: Column, f: Callable[[str], Any], kind: str, concurrency: int) -> Column:
     pool: list[ThreadPoolExecutor] = []
+    arrow = to_arrow_type(_parse_datatype_string(kind))
 
-    def run(values: pd.Series) -> pd.Series:
+    def run(values: pa.Array) -> pa.Array:
         if concurrency > 1 and not pool:
             pool.append(ThreadPoolExecutor(concurrency))
-        out = pd.Series([None] * len(values), dtype=object)
-        rows = [i for i, v in enumerate(values) if v is not None]
-        for i, y in zip(rows, (pool[0].map if pool else map)(f, [values.iloc[i] for i in rows])):
-            out.iat[i] = y
-        return out
+        return _in_turn(values, f, pool[0].map if pool else map, max(1, concurrency), arrow)
 
     # A new object each time: asNondeterministic changes the function it is called on.
-    return F.pandas_udf(run, kind).asNondeterministic()(x.cast("string"))
+    return F.arrow_udf(run, kind).asNondeterministic()(x.cast("string"))
 
 
 def _infer(x: Column, c: Client, model: Any, to_messages: Callable[[str], list[dict[str, str]]], concurrency: int, on_failure: str | None = None) -> Column:

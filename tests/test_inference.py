@@ -173,3 +173,16 @@ def test_trying_again(monkeypatch):
     with pytest.raises(P.ProviderError, match="down"):
         P.client("openai", retries=2, wait=0).complete(SENT)
     assert len(calls) == 3
+
+
+def test_few_texts_of_a_batch_are_held_at_once():
+    """However many rows a batch has, and however long they are; nulls and the order of rows stay."""
+    import pyarrow as pa
+
+    texts = ["é" * 300_000, None, *(f"t{n}" for n in range(3000)), *("x" * 100_000 for _ in range(40)), None]
+    asked = []
+    out = I._in_turn(pa.array(texts), str.upper, lambda f, some: asked.append(some) or map(f, some), 4, pa.string())
+    assert out.to_pylist() == [None if t is None else t.upper() for t in texts]
+    assert max(map(len, asked)) <= I.HELD_ROWS and all(len(some) <= 4 or sum(len(t.encode()) for t in some) <= I.HELD_BYTES for some in asked)
+    assert I._in_turn(pa.array([], pa.string()), str.upper, map, 4, pa.string()).to_pylist() == []
+    assert I._in_turn(pa.array([None, "a"]).slice(1), lambda t: [1.0], map, 1, pa.list_(pa.float64())).to_pylist() == [[1.0]]
